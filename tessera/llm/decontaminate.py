@@ -42,11 +42,25 @@ def words_of(text):
     return F.filter(words, lambda w: w != "")
 
 
+def let(value, body):
+    """``body`` of a value that is worked out once: as a lambda's argument the optimizer cannot copy it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def shingles_of(words, n: int = SHINGLE):
     """Hashes of the n-word windows, in order; of all words if there are fewer."""
-    size = F.size(words)
-    whole = F.when(size > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
-    return F.when(size < n, whole).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(size - n, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)])))
+
+    def hashed(w):
+        size = F.size(w)
+        whole = F.when(size > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(size < n, whole).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(size - n, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)])))
+
+    return let(words, hashed)
+
+
+def sized_shingles(text):
+    """Struct of n, the number of words, and s, the shingles."""
+    return let(words_of(text), lambda w: F.struct(F.size(w).alias("n"), shingles_of(w).alias("s")))
 
 
 def simhashes(rows: DataFrame, key: str, shingles: str) -> DataFrame:
@@ -73,14 +87,14 @@ def bags(rows: DataFrame, key: str, shingles: str) -> DataFrame:
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, similarity): the best window of each matching pair."""
-    own = items.select("item_id", words_of(F.col("text")).alias("w")).select("item_id", F.size("w").alias("size"), shingles_of(F.col("w")).alias("s")).where("size > 0")
+    own = items.select("item_id", sized_shingles(F.col("text")).alias("x")).select("item_id", F.col("x.n").alias("size"), "x.s").where("size > 0")
     own = written(own, "items")
     posted = own.select("size", F.posexplode("s").alias("j", "h")).distinct()
     n = posted.count()
 
     keyed = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("key"))
-    shingled = keyed.select("doc_id", "key", words_of(F.col("text")).alias("w")).select("doc_id", "key", F.size("w").alias("n"), shingles_of(F.col("w")).alias("s"))
-    at = shingled.select("doc_id", "key", "n", F.posexplode("s").alias("p", "h"))
+    shingled = keyed.select("doc_id", "key", F.explode(F.array(sized_shingles(F.col("text")))).alias("x"))
+    at = shingled.select("doc_id", "key", F.col("x.n").alias("n"), F.posexplode("x.s").alias("p", "h"))
     hits = at.join(F.broadcast(posted) if n <= MAX_BROADCAST_SHINGLES else posted, "h").where(f"(n < {SHINGLE}) = (size < {SHINGLE})")
     start = F.greatest(F.col("p") - F.col("j"), F.lit(0))
     end = F.least(F.col("p") - F.col("j") + F.col("size"), F.col("n"))
@@ -88,13 +102,14 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     per_doc = placed.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "len")).alias("at"))
 
     d, p = keyed.alias("d"), per_doc.alias("p")
-    found = d.join(p, F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.key") == F.col("p.key"))).select("d.doc_id", words_of(F.col("d.text")).alias("w"), "p.at")
-    spans = found.select("doc_id", "w", F.explode("at").alias("a")).select("doc_id", "a.start", "a.len", F.slice("w", F.col("a.start") + 1, F.col("a.len")).alias("w"))
+    found = d.join(p, F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.key") == F.col("p.key"))).select("d.doc_id", "d.text", "p.at")
+    cut = let(words_of(F.col("text")), lambda w: F.transform("at", lambda a: F.struct(a["start"].alias("start"), a["len"].alias("len"), F.slice(w, a["start"] + 1, a["len"]).alias("w"))))
+    spans = found.select("doc_id", F.explode(cut).alias("a")).select("doc_id", "a.*")
     windows = written(spans.select("doc_id", "start", "len", F.md5(F.array_join("w", " ")).alias("wkey"), shingles_of(F.col("w")).alias("s")).distinct(), "windows")
     distinct = windows.select("wkey", "s").dropDuplicates(["wkey"])
 
-    a = near_blocks(simhashes(distinct, "wkey", "s"), "wkey").withColumnRenamed("fp", "wfp")
-    b = near_blocks(simhashes(own, "item_id", "s"), "item_id")
+    a = near_blocks(written(simhashes(distinct, "wkey", "s"), "window-simhashes"), "wkey").withColumnRenamed("fp", "wfp")
+    b = near_blocks(written(simhashes(own, "item_id", "s"), "item-simhashes"), "item_id")
     pairs = a.join(b, ["block", "value"]).where(F.bit_count(F.col("wfp").bitwiseXOR(F.col("fp"))) <= RADIUS).select("wkey", "item_id").distinct()
 
     wb, ib = bags(distinct, "wkey", "s"), bags(own, "item_id", "s").withColumnRenamed("_n", "_m")
