@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, decontaminate, packing, pii, url_filter, warc
+from tessera.llm import chat, decontaminate, packing, pii, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op3_warc": warc.op3_warc,
     "op4_packing": packing.op4_packing,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_pii": pii.op7_pii,
     "op9_chat": chat.op9_chat,
 }
