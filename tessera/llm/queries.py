@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, decontaminate, packing, pii, toxicity, url_filter, warc
+from tessera.llm import chat, decontaminate, jaccard, packing, pii, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_pii": pii.op7_pii,
+    "op8_jaccard": jaccard.op8_jaccard,
     "op9_chat": chat.op9_chat,
 }
 
