@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, decontaminate, jaccard, packing, pii, toxicity, url_filter, warc
+from tessera.llm import chat, decontaminate, jaccard, packing, pii, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_pii": pii.op7_pii,
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_chat": chat.op9_chat,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
 ORACLE_SQL = {
