@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, decontaminate, jaccard, packing, pii, suffix_dedup, toxicity, url_filter, warc
+from tessera.llm import ann, chat, decontaminate, jaccard, packing, pii, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_ann": ann.op2_ann,
     "op3_warc": warc.op3_warc,
     "op4_packing": packing.op4_packing,
     "op5_decontaminate": decontaminate.op5_decontaminate,
