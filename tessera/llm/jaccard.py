@@ -8,7 +8,11 @@
    length and position filters. Larger groups first compare all members with the group's least class;
    members that are still in different components afterwards are compared in blocks. Both are
    exact: a pair is left out only when its two classes are already in one component.
-4. Candidates of one class are read in the order of their sets, which walks the prefix tree (trie) of
+4. Every set has a bitmap of ``SKETCH`` bits, or of its size rounded up to a power of two if that is
+   more: the parity of the shingles that fall on each bit. Two bitmaps differ in no more bits than the
+   sets differ in shingles, so pairs whose bitmaps differ in more than the threshold allows are dropped
+   before any set is read.
+5. Candidates of one class are read in the order of their sets, which walks the prefix tree (trie) of
    those sets depth first: overlaps along a shared path are kept and a path is left as soon as the
    remaining lengths cannot reach the needed overlap.
 
@@ -30,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, written
+from tessera.llm.common import checked, table, written
 from tessera.llm.components import connected
 
 SHINGLE = 5
@@ -44,6 +48,7 @@ FREQUENT, MAX_FREQUENT = 64, 1 << 18
 #: Shingles that are counted together before those that occur once are let go.
 CHUNK = 2_000_000
 SALTS = 16
+SKETCH = 1024
 TOP = np.uint64(1 << 63)
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -66,15 +71,32 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(h >> np.uint64(1))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parity of the shingles on each bit."""
+    size = max(SKETCH, 1 << (len(s) - 1).bit_length() if len(s) else 1)
+    bits = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def folded(raw: bytes, size: int) -> np.ndarray:
+    """A bitmap brought to a smaller size in bytes, as 64-bit words."""
+    return np.bitwise_xor.reduce(np.frombuffer(raw, np.uint64).reshape(-1, size // 8), axis=0)
+
+
+def may_differ(nx, ny, percent: int):
+    """The most shingles in which similar sets of these sizes differ."""
+    return nx + ny - 2 * -(-percent * (nx + ny) // (100 + percent))
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Written rows: (doc_id, n, h1, h2) of each document, and (h1 = shingle, n = count) with frequent = true."""
+    """Written rows: (doc_id, n, h1, h2, sketch) of each document, and (h1 = shingle, n = count) with frequent = true."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "h1", "h2", "frequent"]
+        names = ["doc_id", "n", "h1", "h2", "frequent", "sketch"]
         held: list[np.ndarray] = []
 
         def counted() -> Iterator[pa.RecordBatch]:
@@ -83,7 +105,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             values, counts = values[keep], counts[keep]
             held.clear()
             zero = pa.nulls(len(values), pa.int64())
-            yield pa.RecordBatch.from_arrays([zero, pa.array(counts.astype(np.int64)), pa.array(values.astype(np.int64)), zero, pa.array(np.ones(len(values), bool))], names=names)
+            yield pa.RecordBatch.from_arrays([zero, pa.array(counts.astype(np.int64)), pa.array(values.astype(np.int64)), zero, pa.array(np.ones(len(values), bool)), pa.nulls(len(values), pa.binary())], names=names)
 
         size = 0
         for batch in batches:
@@ -91,19 +113,20 @@ def signatures(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = shingle_set(text.as_py())
                 digest = xxhash.xxh3_128_intdigest(s.tobytes())
-                out.append((doc_id, len(s), (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63), False))
+                out.append((doc_id, len(s), (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63), False, sketch(s)))
                 held.append(s)
                 size += len(s)
                 if size >= CHUNK:
                     yield from counted()
                     size = 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 4 else pa.bool_()) for i, c in enumerate(zip(*out))], names=names)
+                kinds = [pa.int64()] * 4 + [pa.bool_(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
         if held:
             yield from counted()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(rows.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, frequent boolean"), "signatures")
+    return written(rows.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, frequent boolean, sketch binary"), "signatures")
 
 
 def ordered(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -113,25 +136,31 @@ def ordered(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarra
         return s
     at = np.minimum(np.searchsorted(values, s), len(values) - 1)
     hit = values[at] == s
-    return np.sort(np.where(hit, TOP | ranks[at], s))
+    return np.sort(np.where(hit, TOP | ranks[at] << np.uint64(32), s))
 
 
 def _rep_sets(docs: DataFrame, reps: DataFrame, frequent, emit, schema: str) -> DataFrame:
-    """Runs ``emit(cls, keys)`` -> list of arrays, for the set of each class in ``reps``."""
+    """Runs ``emit(keys, row)`` -> list of columns for every row of ``reps`` (cls, rep, h1, h2, to1, to2, to3).
+
+    ``keys`` is the class's ordered set, worked out once for rows of a class that follow one another.
+    """
     d = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
-    both = d.join(reps, F.col("_id").eqNullSafe(F.col("rep"))).select("cls", "h1", "h2", "text")
+    both = d.join(reps, F.col("_id").eqNullSafe(F.col("rep"))).select("cls", "h1", "h2", "to1", "to2", "to3", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, keys = None, None
         for batch in batches:
-            parts: list[list[np.ndarray]] = []
+            parts: list[list] = []
             size = 0
-            for cls, h1, h2, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
-                s = shingle_set(text.as_py())
-                digest = xxhash.xxh3_128_intdigest(s.tobytes())
-                if ((digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63)) != (h1, h2):
-                    continue  # another text under the same doc_id
-                parts.append(emit(cls, ordered(s, frequent.value)))
-                size += len(s)
+            for cls, h1, h2, *to, text in zip(*(batch.column(i).to_pylist() for i in range(6)), batch.column(6)):
+                if cls != last:
+                    s = shingle_set(text.as_py())
+                    digest = xxhash.xxh3_128_intdigest(s.tobytes())
+                    if ((digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63)) != (h1, h2):
+                        continue  # another text under the same doc_id
+                    last, keys = cls, ordered(s, frequent.value)
+                parts.append(emit(keys, (cls, *to)))
+                size += len(keys)
                 if size >= CHUNK // 4:
                     yield _batch(parts, schema)
                     parts, size = [], 0
@@ -141,6 +170,17 @@ def _rep_sets(docs: DataFrame, reps: DataFrame, frequent, emit, schema: str) ->
     return both.mapInArrow(run, schema)
 
 
+def to_bytes(keys: np.ndarray) -> bytes:
+    """The top 48 bits of each key, big-endian, so that bytes sort like the sets."""
+    return keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def from_bytes(raw: pa.Buffer) -> np.ndarray:
+    full = np.zeros((raw.size // 6, 8), np.uint8)
+    full[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return full.view(">u8").ravel().astype(np.uint64)
+
+
 def _batch(parts: list[list], schema: str) -> pa.RecordBatch:
     names = [x.split()[0] for x in schema.split(", ")]
     columns = []
@@ -218,12 +258,39 @@ def candidates(postings: DataFrame, percent: int, cap: int) -> DataFrame:
     return written(dealt.mapInArrow(run, CANDIDATE), "candidates")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Written links (a, b): the pairs (x, y) of classes whose sets are similar enough."""
-    salted = pairs.select("x", "y", F.pmod(F.xxhash64("y"), F.lit(SALTS)).cast("int").alias("salt"))
-    left = salted.select("x", "salt").distinct().join(sets.withColumnRenamed("cls", "x"), "x").select("x", "salt", F.lit(0).alias("kind"), F.col("x").alias("y"), "keys")
-    right = salted.join(sets.withColumnRenamed("cls", "y"), "y").select("x", "salt", F.lit(1).alias("kind"), "y", "keys")
-    dealt = left.union(right).repartition("x", "salt").sortWithinPartitions("x", "salt", "kind", "keys")
+def sketched(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Written pairs (x, y) that the bitmaps do not rule out."""
+    side = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "nx", "ny", "sx", "sy")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nx, ny = batch.column("nx").to_numpy(), batch.column("ny").to_numpy()
+            least = may_differ(nx, ny, percent)
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (a, b) in enumerate(zip(batch.column("sx").to_pylist(), batch.column("sy").to_pylist())):
+                size = min(len(a), len(b))
+                keep[i] = int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum()) <= least[i]
+            yield batch.filter(pa.array(keep)).select(["x", "y"])
+
+    return written(both.mapInArrow(run, "x long, y long"), "pairs")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, frequent, percent: int) -> DataFrame:
+    """Written links (a, b): the pairs (x, y) of classes whose sets are similar enough.
+
+    Each pair's sets go to (x, salt), x first and then the ys in the order of their sets.
+    """
+    salted = pairs.select("x", "y", F.pmod(F.xxhash64("y"), F.lit(SALTS)).cast("long").alias("salt"))
+    own = salted.select("x", "salt").distinct().select(F.col("x").alias("cls"), F.col("x").alias("to1"), F.col("salt").alias("to2"), F.lit(0).cast("long").alias("to3"))
+    other = salted.select(F.col("y").alias("cls"), F.col("x").alias("to1"), F.col("salt").alias("to2"), F.lit(1).cast("long").alias("to3"))
+    wanted = reps.join(own.union(other), "cls").select("cls", "rep", "h1", "h2", "to1", "to2", "to3")
+
+    def sent(keys: np.ndarray, row: tuple) -> list:
+        cls, x, salt, kind = row
+        return [[x], [salt], [kind], [cls], [to_bytes(keys)]]
+
+    dealt = _rep_sets(docs, wanted, frequent, sent, "x long, salt long, kind long, y long, keys binary").repartition("x", "salt").sortWithinPartitions("x", "salt", "kind", "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(0, np.uint64)
@@ -231,7 +298,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             out: list[tuple[int, int]] = []
             for x, kind, y, raw in zip(batch.column("x").to_pylist(), batch.column("kind").to_pylist(), batch.column("y").to_pylist(), batch.column("keys")):
-                keys = np.frombuffer(raw.as_buffer(), ">u8").astype(np.uint64)
+                keys = from_bytes(raw.as_buffer())
                 if kind == 0:
                     own, before, path = keys, keys[:0], np.zeros(1, np.int64)
                     continue
@@ -255,16 +322,25 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def block_pairs(members: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs (x, y) of different components within each shingle's members (token, x, n, pos, comp), by blocks."""
+    """Pairs (x, y) of different components within each shingle's members (token, x, n, pos, sketch, comp), by blocks.
+
+    Pairs that the bitmaps rule out are not listed.
+    """
     sizes = members.groupBy("token").agg(F.count(F.lit(1)).alias("m")).select("token", F.ceil(F.col("m") / block).cast("int").alias("nb"))
     rows = members.join(sizes, "token").withColumn("own", F.pmod(F.xxhash64("x"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "x", "n", "pos", "comp")
+    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "x", "n", "pos", "sketch", "comp")
 
     def run(key, group):
         own, x, n, pos, comp = (group.column(c).to_numpy() for c in ("own", "x", "n", "pos", "comp"))
         a, b = _pairs(n, pos, percent)
         keep = (comp[a] != comp[b]) & ((own[a] != own[b]) | (key[1].as_py() == key[2].as_py())) & (x[a] != x[b])
-        a, b = x[a[keep]], x[b[keep]]
+        a, b = a[keep], b[keep]
+        marks = np.stack([folded(s, SKETCH // 8) for s in group.column("sketch").to_pylist()])
+        differ = np.zeros(len(a), np.int64)
+        for w in range(marks.shape[1]):
+            differ += np.bitwise_count(marks[a, w] ^ marks[b, w])
+        near = differ <= may_differ(n[a], n[b], percent)
+        a, b = x[a[near]], x[b[near]]
         return pa.table({"x": np.minimum(a, b), "y": np.maximum(a, b)})
 
     return rows.groupBy("token", "i", "j").applyInArrow(run, "x long, y long").distinct()
@@ -275,9 +351,11 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, cap: int = CAP, blo
     spark = docs.sparkSession
     rows = signatures(docs)
     signed = rows.where("not frequent and n > 0")
-    classes = signed.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
+    classes = signed.groupBy("n", "h1", "h2", "sketch").agg(F.min("doc_id").alias("rep"))
     classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
 
+    reps = classes.select("cls", "rep", "h1", "h2")
+    once = reps.select("*", *[F.lit(None).cast("long").alias(f"to{i}") for i in (1, 2, 3)])
     counts = rows.where("frequent").groupBy("h1").agg(F.sum("n").alias("c")).where(F.col("c") >= FREQUENT)
     top = counts.orderBy(F.desc("c"), "h1").limit(MAX_FREQUENT).toArrow()  # bounded by MAX_FREQUENT
     values = top.column("h1").to_numpy().astype(np.uint64)
@@ -285,34 +363,44 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, cap: int = CAP, blo
     by_value = np.argsort(values)
     frequent = spark.sparkContext.broadcast((values[by_value], ranks[by_value]))
 
-    def posting(cls: int, keys: np.ndarray) -> list[np.ndarray]:
-        k = prefix_length(len(keys), percent)
+    def posting(keys: np.ndarray, row: tuple) -> list[np.ndarray]:
+        cls, k = row[0], prefix_length(len(keys), percent)
         token = keys[:k]
         salt = np.where(token & TOP > 0, 1 + (cls * 2654435761 >> 7) % SALTS, 0).astype(np.int32)
         return [token.view(np.int64), salt, np.full(k, cls, np.int64), np.full(k, len(keys), np.int64), np.arange(k, dtype=np.int32)]
 
-    found = candidates(_rep_sets(docs, classes, frequent, posting, POSTING), percent, cap)
+    found = candidates(_rep_sets(docs, once, frequent, posting, POSTING), percent, cap)
     members = found.where("y is null").select("token", "x", "n", "pos")
     centres = members.groupBy("token").agg(F.min_by("x", "x").alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
     stars = members.join(centres, "token").where("x <> c").select(F.col("c").alias("x"), F.col("x").alias("y"))
-    pairs = written(found.where("y is not null").select("x", "y").union(stars).distinct(), "pairs")
-    needed = pairs.select(F.col("x").alias("cls")).union(pairs.select(F.col("y").alias("cls"))).distinct()
-
-    def keyed(cls: int, keys: np.ndarray) -> list:
-        return [[cls], [keys.astype(">u8").tobytes()]]
-
-    sets = written(_rep_sets(docs, classes.join(needed, "cls", "left_semi"), frequent, keyed, "cls long, keys binary").dropDuplicates(["cls"]), "sets")
-    links = verified(pairs, sets, percent)
-    comps = connected(links)
+    tried = found.where("y is not null").select("x", "y").union(stars).distinct()
+    pairs = sketched(tried, classes, percent)
+
+    def apart(some: DataFrame) -> DataFrame:
+        """The pairs whose classes are in different components so far."""
+        of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
+        both = some.join(of("x"), "x", "left").join(of("y"), "y", "left")
+        return both.where(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select("x", "y")
+
+    def further(some: DataFrame) -> DataFrame:
+        """The components with the links among more pairs."""
+        left = written(apart(some), "pairs")
+        if left.isEmpty():
+            return comps
+        links = verified(left, docs, reps, frequent, percent)
+        return connected(comps.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")).union(links))
+
+    # one pair for each class joins most groups; then only pairs across components remain to be compared
+    near = pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y")
+    comps = connected(verified(near, docs, reps, frequent, percent))
+    comps = further(pairs.join(near, ["x", "y"], "left_anti"))
 
     placed = members.join(comps.withColumnRenamed("node", "x"), "x", "left").withColumn("comp", F.coalesce("comp", "x"))
     torn = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    # two components that meet in a torn group, and no pair that was compared before
-    rest = block_pairs(placed.join(torn, "token"), percent, block)
-    rest = written(rest.join(pairs, ["x", "y"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        more = verified(rest, sets, percent)
-        comps = connected(comps.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
+    # pairs of two components that meet in a torn group, less those that were compared before
+    marked = placed.join(torn, "token").join(classes.select(F.col("cls").alias("x"), "sketch"), "x")
+    rest = sketched(block_pairs(marked, percent, block).join(pairs, ["x", "y"], "left_anti"), classes, percent)
+    comps = further(rest)
     return rows, classes, comps
 
 
@@ -332,6 +420,11 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that are the least of their component; equal rows of one doc_id count once."""
-    found = components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    """The documents that name their component; rows that repeat a doc_id count as one document."""
+    gone = checked(components(docs).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_id")).distinct())
+    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    again = written(docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id"), "repeated-ids")
+    if again.isEmpty():
+        return kept
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    return kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
