@@ -9,8 +9,9 @@ it is run where a repeat is possible, on aligned excerpts, which bounds the roun
 1. Anchors. Of every ``length`` consecutive bytes, the first k-gram of least hash is an anchor
    (winnowing), so equal strings of that length hold the same anchor at the same place. Anchors whose
    hash occurs once cannot lie in a repeated string and are let go.
-2. Excerpts. Around each remaining anchor are the bytes that a string of ``length`` bytes with this
-   anchor can reach. Excerpts of one anchor hash form a collection, aligned at the anchor.
+2. Excerpts. An anchor stands for the strings of ``length`` bytes whose first least k-gram it is; their
+   starts are a range. Excerpts hold just these strings. Those of one anchor hash form a
+   collection, aligned at the anchor; every string lies in one collection only.
 3. Columns. The collection's columns are inserted from right to left, with the order and the common
    prefixes kept as above. In a column at or left of the anchor, an excerpt with a neighbour that shares
    ``length`` bytes starts a repeated string. An excerpt leaves the collection once nothing
@@ -18,9 +19,9 @@ it is run where a repeat is possible, on aligned excerpts, which bounds the roun
 4. Covered bytes are the union of these strings.
 
 Texts that occur as several rows are fully repeated when they have ``length`` bytes; one of the rows
-stands for them in the collections. Collections are dealt by the anchor and 184 bytes on one side of
-it, and split at ``MAX_GROUP`` excerpts: larger ones are counted string by string with an aggregate,
-which needs no group in one place. Tasks stream: they hold ``BATCH`` excerpts and one collection.
+stands for them in the collections. Collections of more than ``MAX_GROUP`` excerpts are counted string
+by string with an aggregate, which needs no group in one place. Tasks stream: sorted shuffle files are
+read in sequence, and a task holds ``BATCH`` excerpts or one collection.
 
 Edge cases: null and empty texts have no bytes; a string that overlaps its own copy counts; matches
 never cross rows; repeated rows are different documents; null doc_ids are rows like others; an empty
@@ -42,12 +43,12 @@ from tessera.llm.common import table, written
 LENGTH = 400
 GRAM = 32
 #: Excerpts of small collections that are worked on together, and the largest collection in one task.
-BATCH, MAX_GROUP = 20_000, 100_000
+BATCH, MAX_GROUP = 8_000, 50_000
 #: Bytes of a document that are hashed at a time.
 BLOCK = 1 << 19
 
-EXCERPT = "side int, anchor long, side_key long, cls string, pos int, left int, right int, bytes binary"
-COVER = "cls string, start int"
+EXCERPT = "anchor long, large boolean, cls string, pos int, left int, bytes binary"
+COVER = "cls string, s long, e long"
 
 
 def grams(data: np.ndarray, gram: int) -> np.ndarray:
@@ -74,87 +75,76 @@ def sliding_minimum(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, positions) of a document's anchors."""
+def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, position, first, last) of a document's anchors; first and last start of the strings they stand for."""
     width = length - gram + 1  # k-grams in a string of `length` bytes
-    hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    found = [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)]
     for at in range(0, max(0, len(data) - length + 1), BLOCK):
         part = data[at : at + BLOCK + length - 1]
         h = grams(part, gram)
         mixed = (h >> np.uint64(20) << np.uint64(20)) | np.arange(len(h), dtype=np.uint64)  # of equal hashes the first
         least = sliding_minimum(mixed, width)
-        pos = np.unique((least[np.r_[True, least[1:] != least[:-1]]] & np.uint64((1 << 20) - 1)).astype(np.int64))
-        hashes.append(h[pos])
-        places.append(pos + at)
-    pos, first = np.unique(np.concatenate(places), return_index=True)
-    return np.concatenate(hashes)[first], pos
+        first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+        pos = (least[first] & np.uint64((1 << 20) - 1)).astype(np.int64)
+        found.append((h[pos], pos + at, first + at, np.r_[first[1:] - 1, len(least) - 1] + at))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+ANCHOR = "cls string, anchor long, pos int, first int, last int"
 
 
 def all_anchors(keyed: DataFrame, length: int, gram: int) -> DataFrame:
-    """Written rows (cls, anchor, pos) of all documents."""
+    """Written ANCHOR rows of all documents."""
+    names = [x.split()[0] for x in ANCHOR.split(", ")]
+
+    def flush(classes: list[str], parts: list[tuple]) -> pa.RecordBatch:
+        h, *rest = (np.concatenate(c) for c in zip(*parts))
+        return pa.RecordBatch.from_arrays([pa.array(classes, pa.string()), pa.array(h.astype(np.int64)), *[pa.array(c.astype(np.int32)) for c in rest]], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            classes, hashes, places, held = [], [], [], 0
+            classes: list[str] = []
+            parts: list[tuple] = []
             for cls, text in zip(batch.column("cls").to_pylist(), batch.column("text")):
-                h, pos = anchors(np.frombuffer(text.as_buffer(), np.uint8), length, gram)
-                classes += [cls] * len(h)
-                hashes.append(h.astype(np.int64))
-                places.append(pos.astype(np.int32))
-                held += len(h)
-                if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(classes), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(places))], names=["cls", "anchor", "pos"])
-                    classes, hashes, places, held = [], [], [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(classes), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(places))], names=["cls", "anchor", "pos"])
-
-    return written(keyed.select("cls", "text").mapInArrow(run, "cls string, anchor long, pos int"), "anchors")
-
-
-def excerpts(reps: DataFrame, length: int, gram: int) -> DataFrame:
-    """EXCERPT rows of (cls, text, at: array of (anchor, pos)).
-
-    A string holds the anchor and, beside it, ``half`` bytes on the left or on the right at least. Side 0
-    is for strings with ``half`` bytes on the right of the anchor, side 1 for the others; ``side_key``
-    hashes those bytes, so that unlike surroundings fall into different collections.
-    """
-    half = (length - gram) // 2
+                parts.append(anchors(np.frombuffer(text.as_buffer(), np.uint8), length, gram))
+                classes += [cls] * len(parts[-1][0])
+                if len(classes) > 100_000:
+                    yield flush(classes, parts)
+                    classes, parts = [], []
+            if classes:
+                yield flush(classes, parts)
+
+    return written(keyed.select("cls", "text").mapInArrow(run, ANCHOR), "anchors")
+
+
+def excerpts(reps: DataFrame, length: int, max_group: int) -> DataFrame:
+    """EXCERPT rows of (cls, text, at: array of (anchor, pos, first, last, n))."""
     names = [x.split()[0] for x in EXCERPT.split(", ")]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    kinds = [pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for cls, text, at in zip(batch.column("cls").to_pylist(), batch.column("text"), batch.column("at").to_pylist()):
-                data = text.as_buffer().to_pybytes()
+                data = text.as_buffer()
                 for x in at:
-                    pos = x["pos"]
-                    for side in (0, 1):
-                        # strings start at pos - most .. pos - least
-                        least, most = (0, length - gram - half) if side == 0 else (length - gram - half + 1, length - gram)
-                        left = min(pos, most)
-                        right = min(len(data) - pos, length - least)
-                        if left < least or left + right < length:
-                            continue
-                        around = data[pos + gram : pos + gram + half] if side == 0 else data[pos - least : pos]
-                        key = int.from_bytes(hashlib.blake2b(around, digest_size=8).digest(), "little", signed=True)
-                        out.append((side, x["anchor"], key, cls, pos, left, right, data[pos - left : pos + right]))
-                if len(out) > 8000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
-                    out = []
+                    out.append((x["anchor"], x["n"] > max_group, cls, x["pos"], x["pos"] - x["first"], data[x["first"] : x["last"] + length].to_pybytes()))
+                    if len(out) >= 5000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+                        out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
     return reps.mapInArrow(run, EXCERPT)
 
 
-def repeated_starts(group: np.ndarray, left: np.ndarray, right: np.ndarray, data: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+def repeated_starts(group: np.ndarray, left: np.ndarray, data: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(excerpt, offset from its anchor) of all strings of ``length`` bytes that occur twice in a group.
 
-    ``data[i]`` has ``left[i]`` bytes before the anchor and ``right[i]`` from it on. Two places of a group
-    count as different even if their bytes belong to the same text.
+    ``data[i]`` has ``left[i]`` bytes before the anchor. Two places of a group count as different even if
+    their bytes belong to the same text.
     """
-    wide_left, wide_right = int(left.max()), int(right.max())
+    wide_left, wide_right = int(left.max()), max(len(x) - int(k) for x, k in zip(data, left))
     columns = np.full((wide_left + wide_right, len(data)), -1, np.int16)  # -1: no symbol
     for i, x in enumerate(data):
         a = wide_left - left[i]
@@ -191,9 +181,7 @@ def repeated_starts(group: np.ndarray, left: np.ndarray, right: np.ndarray, data
             if len(hit):
                 found_of.append(hit)
                 found_at.append(np.full(len(hit), column - wide_left))
-            # what is shared must reach over the anchor, or it can never again hold it
-            alive = (most > wide_left - column) | (column - wide_left > -left[order])
-            alive &= (most > wide_left - column) | (symbol_missing(columns, column, order))
+            alive = most > wide_left - column  # else nothing that holds the anchor is shared any more
             if not alive.all():
                 order, prefix = shrink(order, prefix, alive)
                 if not len(order):
@@ -203,80 +191,83 @@ def repeated_starts(group: np.ndarray, left: np.ndarray, right: np.ndarray, data
     return np.concatenate(found_of), np.concatenate(found_at)
 
 
-def symbol_missing(columns: np.ndarray, column: int, order: np.ndarray) -> np.ndarray:
-    return columns[column][order] < 0
-
-
 def shrink(order: np.ndarray, prefix: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Leave out suffixes; a prefix becomes the least one over those left out before it."""
     kept = np.flatnonzero(alive)
     if not len(kept):
         return order[:0], prefix[:0]
-    return order[kept], np.minimum.reduceat(prefix, np.r_[0, kept[:-1] + 1]).astype(np.int32)
-
-
-def _rows(side: int, starts: tuple[np.ndarray, np.ndarray], cls: list[str], pos: np.ndarray) -> pa.RecordBatch:
-    of, at = starts
-    return pa.RecordBatch.from_arrays([pa.array([cls[i] for i in of.tolist()], pa.string()), pa.array((pos[of] + at).astype(np.int32))], names=["cls", "start"])
-
-
-def repeated(rows: DataFrame, length: int, gram: int, batch_size: int) -> DataFrame:
-    """COVER rows: starts of the repeated strings in collections that lie together in sorted partitions."""
-    half = (length - gram) // 2
+    return order[kept], np.minimum.reduceat(prefix[: kept[-1] + 1], np.r_[0, kept[:-1] + 1]).astype(np.int32)
+
+
+def repeated(rows: DataFrame, length: int, batch_size: int) -> DataFrame:
+    """COVER rows: runs of repeated strings in collections that lie together in sorted partitions."""
+
+    def work(anchor: np.ndarray, cls: list[str], pos: np.ndarray, left: np.ndarray, data: list[bytes]) -> Iterator[pa.RecordBatch]:
+        edges = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1], True])
+        several = np.repeat(np.diff(edges) > 1, np.diff(edges))
+        own = np.flatnonzero(several)
+        if len(own):
+            of, at = repeated_starts(anchor[own], left[own], [data[i] for i in own], length)
+            by = np.lexsort((at, of))
+            of, at = own[of[by]], at[by]
+            if len(of):  # neighbouring starts of an excerpt make one run
+                new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1)])
+                last = np.r_[new[1:], len(of)] - 1
+                first = pos[of[new]]
+                yield pa.RecordBatch.from_arrays([pa.array([cls[i] for i in of[new].tolist()], pa.string()), pa.array(first + at[new]), pa.array(first + at[last] + length)], names=["cls", "s", "e"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-
-        def work(some: list[dict]) -> Iterator[pa.RecordBatch]:
-            for side in (0, 1):
-                own = [x for x in some if x["side"] == side]
-                if not own:
-                    continue
-                keys: dict = {}
-                group = np.array([keys.setdefault((x["anchor"], x["side_key"]), len(keys)) for x in own], np.int64)
-                left, right, pos = (np.array([x[c] for x in own], np.int64) for c in ("left", "right", "pos"))
-                of, at = repeated_starts(group, left, right, [x["bytes"] for x in own], length)
-                keep = (at >= -(length - gram - half)) if side == 0 else (at < -(length - gram - half))
-                yield _rows(side, (of[keep], at[keep]), [x["cls"] for x in own], pos)
-
-        last = None
+        held: list[pa.RecordBatch] = []
+
+        def emptied(keep_last: bool) -> Iterator[pa.RecordBatch]:
+            """Work on what is held, but for the last collection if it may go on."""
+            whole = pa.Table.from_batches(held)
+            anchor = whole.column("anchor").to_numpy()
+            cut = int(np.searchsorted(anchor, anchor[-1])) if keep_last else len(anchor)
+            if cut:
+                part = whole.slice(0, cut)
+                yield from work(anchor[:cut], part.column("cls").to_pylist(), part.column("pos").to_numpy().astype(np.int64), part.column("left").to_numpy().astype(np.int64), part.column("bytes").to_pylist())
+            held[:] = whole.slice(cut).combine_chunks().to_batches()
+
+        size = 0
         for batch in batches:
-            for x in batch.to_pylist():
-                key = (x["side"], x["anchor"], x["side_key"])
-                if key != last and len(held) >= batch_size:
-                    yield from work(held)
-                    held = []
-                last = key
-                held.append(x)
+            for at in range(0, batch.num_rows, batch_size):
+                held.append(batch.slice(at, batch_size))
+                size += held[-1].num_rows
+                if size >= batch_size:
+                    yield from emptied(True)
+                    size = 0
         if held:
-            yield from work(held)
+            yield from emptied(False)
 
     return rows.mapInArrow(run, COVER)
 
 
-def counted(rows: DataFrame, length: int, gram: int) -> DataFrame:
+def counted(rows: DataFrame, length: int) -> DataFrame:
     """The same for collections too large for a task: every string's hash is counted by an aggregate."""
-    half = (length - gram) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.to_pylist():
-                least, most = (0, length - gram - half) if x["side"] == 0 else (length - gram - half + 1, length - gram)
-                offsets = [o for o in range(least, min(most, x["left"]) + 1) if length - o <= x["right"]]
-                keys = [hashlib.blake2b(x["bytes"][x["left"] - o : x["left"] - o + length], digest_size=16).digest() for o in offsets]
-                yield pa.RecordBatch.from_arrays([pa.array([x["cls"]] * len(keys), pa.string()), pa.array([x["pos"] - o for o in offsets], pa.int32()), pa.array(keys, pa.binary())], names=["cls", "start", "h"])
+                n = len(x["bytes"]) - length + 1
+                keys = [hashlib.blake2b(x["bytes"][i : i + length], digest_size=16).digest() for i in range(n)]
+                first = x["pos"] - x["left"]
+                yield pa.RecordBatch.from_arrays([pa.array([x["cls"]] * n, pa.string()), pa.array(range(first, first + n), pa.int32()), pa.array(keys, pa.binary())], names=["cls", "start", "h"])
 
-    strings = rows.mapInArrow(run, "cls string, start int, h binary").distinct()
+    strings = rows.mapInArrow(run, "cls string, start int, h binary")
     twice = strings.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    return strings.join(twice, "h", "left_semi").select("cls", "start")
+    return strings.join(twice, "h", "left_semi").select("cls", F.col("start").cast("long").alias("s"), (F.col("start") + length).cast("long").alias("e"))
 
 
-def merge(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """Maximal runs covered by strings of ``length`` bytes from sorted starts."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > length) + 1
-    return [(int(x[0]), int(x[-1]) + length) for x in np.split(starts, cut)]
+def merge(runs: list[dict]) -> list[dict]:
+    """The union of runs (s, e), as maximal runs in order."""
+    out: list[dict] = []
+    for x in sorted(runs, key=lambda r: (r["s"], r["e"])):
+        if out and x["s"] <= out[-1]["e"]:
+            out[-1]["e"] = max(out[-1]["e"], x["e"])
+        else:
+            out.append(dict(x))
+    return out
 
 
 def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_size: int = BATCH, max_group: int = MAX_GROUP) -> DataFrame:
@@ -288,28 +279,26 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_size
 
     found = all_anchors(keyed.where(F.octet_length("text") >= length), length, gram)
     once = found.groupBy("cls", "anchor", "pos").agg(F.lit(1).alias("one"))
-    twice = once.groupBy("anchor").agg(F.count("one").alias("n")).where("n > 1").select("anchor")
-    places = found.join(twice, "anchor", "left_semi").groupBy("cls").agg(F.collect_set(F.struct("anchor", "pos")).alias("at"))
+    twice = written(once.groupBy("anchor").agg(F.count("one").alias("n")).where("n > 1"), "repeated-anchors")
+    places = found.join(twice, "anchor").groupBy("cls").agg(F.collect_set(F.struct("anchor", "pos", "first", "last", "n")).alias("at"))
     wanted = places.join(classes.select("cls", "rep"), "cls")
     k, w = keyed.alias("k"), wanted.alias("w")
-    reps = k.join(w, (F.col("k.cls") == F.col("w.cls")) & F.col("k.doc_id").eqNullSafe(F.col("w.rep"))).select("k.cls", "k.text", "w.at").dropDuplicates(["cls"])
-    cut = written(excerpts(reps, length, gram), "excerpts")
-
-    key = ["side", "anchor", "side_key"]
-    sizes = written(cut.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "collections")
-    small = cut.join(sizes.where(F.col("n") <= max_group).select(*key), key, "left_semi")
-    dealt = small.repartition(*key).sortWithinPartitions(*key)
-    starts = repeated(dealt.select(*[x.split()[0] for x in EXCERPT.split(", ")]), length, gram, batch_size)
-    large = cut.join(sizes.where(F.col("n") > max_group).select(*key), key, "left_semi")
-    starts = starts.union(counted(large.select(*[x.split()[0] for x in EXCERPT.split(", ")]), length, gram))
+    same = (F.col("k.cls") == F.col("w.cls")) & F.col("k.doc_id").eqNullSafe(F.col("w.rep"))
+    reps = k.join(w, same).select("k.cls", "k.text", "w.at")
+    cut = excerpts(reps, length, max_group)
+    dealt = cut.where("not large").repartition("anchor").sortWithinPartitions("anchor")
+    starts = repeated(dealt, length, batch_size)
+    if not twice.where(F.col("n") > max_group).isEmpty():
+        starts = starts.union(counted(cut.where("large"), length))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
         for batch in batches:
-            out = [[{"s": a, "e": b} for a, b in merge(np.unique(np.array(x, np.int64)), length)] for x in batch.column("starts").to_pylist()]
+            out = [merge(x) for x in batch.column("some").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(out, kind)], names=["cls", "runs"])
 
-    per_class = starts.groupBy("cls").agg(F.collect_set("start").alias("starts")).mapInArrow(runs, "cls string, runs array<struct<s:long,e:long>>")
+    starts = written(starts, "covered")
+    per_class = starts.groupBy("cls").agg(F.collect_set(F.struct("s", "e")).alias("some")).mapInArrow(runs, "cls string, runs array<struct<s:long,e:long>>")
     per_class = written(per_class, "runs")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("n_bytes").alias("e")))
     none = F.array().cast("array<struct<s:bigint,e:bigint>>")
