@@ -33,13 +33,28 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it again."""
+    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it again.
+
+    The shuffle files behind the table are of no use afterwards. Spark deletes them once the driver's
+    garbage collector has found their plan unreachable, so it is asked to run.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a table of ids or short arrays is broadcast.
+MAX_BROADCAST_ROWS = 1 << 18
+
+
+def checked(df: DataFrame, rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``df``, written, with a broadcast hint only if it has at most ``rows`` rows; else its joins shuffle."""
+    df = written(df, "side")
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path with the file system that Spark uses for it."""
     jvm, target = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -25,7 +25,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, written
+from tessera.llm.common import checked, table, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -129,5 +129,5 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without a benchmark passage."""
-    hit = contaminated(docs, items).select(F.col("doc_id").alias("_id")).distinct()
+    hit = checked(contaminated(docs, items).select(F.col("doc_id").alias("_id")).distinct())
     return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, written
+from tessera.llm.common import checked, table, written
 
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -193,6 +193,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span, or run of overlapping spans, replaced by ``<KIND>`` of its first one."""
     found = find_pii(docs).dropDuplicates(["doc_id", "key"])
     spans = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.array_sort(F.concat(*[_kinded(k) for k in KINDS], _more())).alias("_spans")).where(F.size("_spans") > 0)
+    spans = checked(spans)
     keyed = docs.withColumn("_k", F.md5(F.coalesce("text", F.lit(""))))
     both = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
     text = F.col("text")
