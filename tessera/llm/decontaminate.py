@@ -129,5 +129,5 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without a benchmark passage."""
-    hit = checked(contaminated(docs, items).select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    hit = checked(contaminated(docs, items).select(F.col("doc_id").alias("_tessera_id")).distinct())
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_tessera_id")), "left_anti")

@@ -421,10 +421,10 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that name their component; rows that repeat a doc_id count as one document."""
-    gone = checked(components(docs).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_id")).distinct())
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    again = written(docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id"), "repeated-ids")
+    gone = checked(components(docs).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_tessera_id")).distinct())
+    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_tessera_id")), "left_anti")
+    again = written(docs.groupBy(F.col("doc_id").alias("_tessera_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_tessera_id"), "repeated-ids")
     if again.isEmpty():
         return kept
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    same = F.col("doc_id").eqNullSafe(F.col("_tessera_id"))
     return kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))

@@ -192,10 +192,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span, or run of overlapping spans, replaced by ``<KIND>`` of its first one."""
     found = find_pii(docs).dropDuplicates(["doc_id", "key"])
-    spans = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.array_sort(F.concat(*[_kinded(k) for k in KINDS], _more())).alias("_spans")).where(F.size("_spans") > 0)
+    spans = found.select(F.col("doc_id").alias("_tessera_id"), F.col("key").alias("_tessera_key"), F.array_sort(F.concat(*[_kinded(k) for k in KINDS], _more())).alias("_tessera_spans")).where(F.size("_tessera_spans") > 0)
     spans = checked(spans)
-    keyed = docs.withColumn("_k", F.md5(F.coalesce("text", F.lit(""))))
-    both = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
+    keyed = docs.withColumn("_tessera_k", F.md5(F.coalesce("text", F.lit(""))))
+    both = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("_tessera_id")) & (F.col("_tessera_k") == F.col("_tessera_key")), "left")
     text = F.col("text")
     start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
 
@@ -204,6 +204,6 @@ def redact(docs: DataFrame) -> DataFrame:
         piece = F.concat(F.substr(text, acc["pos"] + 1, F.greatest(x["s"] - acc["pos"], F.lit(0))), F.lit("<"), F.upper(x["kind"]), F.lit(">"))
         return F.struct(F.greatest(acc["pos"], x["e"]).alias("pos"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["pos"] + 1, F.length(text))))
-    new = both.withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(done))
-    return new.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    done = F.aggregate("_tessera_spans", start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["pos"] + 1, F.length(text))))
+    new = both.withColumn("text", F.when(F.col("_tessera_spans").isNull(), text).otherwise(done))
+    return new.withColumn("n_chars", F.when(F.col("_tessera_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)

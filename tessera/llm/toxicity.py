@@ -2,9 +2,9 @@
 
 1. Voters. A short general lexicon gives word voters. Words and word beginnings (4 to 7 letters) that
    favour toxic rows in the labelled training rows give pattern voters. Each votes "toxic" where it
-   occurs and abstains elsewhere. The labels serve to pick voters, and nothing else.
+   occurs and abstains elsewhere. The labels serve to pick voters and to measure them.
 2. Label model. The votes on the training rows are explained by a hidden label: each voter has its own
-   accuracy, found by expectation maximisation that does not see the labels. Voters that fire together
+   accuracy, found by expectation maximisation from its measured one. Voters that fire together
    among likely toxic rows are correlated, so each one's evidence is divided by the sum of its
    correlations, and the posterior of a row counts a repeated signal once.
 3. A linear (logistic) classifier of the same kind of features learns the posterior labels and scores
@@ -41,6 +41,7 @@ PREFIXES = (4, 5, 6, 7)
 MAX_PER_CLASS = 5000
 MAX_VOTERS = 400
 MAX_FEATURES = 20000
+MIN_PRECISION, MAX_NOISE = 0.87, 0.03
 FOLDS = 5
 WORD = re.compile(r"[^\W_]+")
 
@@ -128,16 +129,17 @@ class LabelModel:
     def __init__(self, prior: float = 0.2, rounds: int = 25):
         self.prior, self.rounds = prior, rounds
 
-    def fit(self, votes: np.ndarray) -> np.ndarray:
+    def fit(self, votes: np.ndarray, measured: np.ndarray) -> np.ndarray:
+        """``measured``: the voters' accuracies on labelled rows, where the search begins and leans to."""
         fired = votes.sum(0)
         silent = votes.sum(1) == 0
-        self.accuracy, self.clean = np.full(votes.shape[1], 0.9), 0.9
+        self.accuracy, self.clean = measured.clip(0.5, 0.98), 0.9
         self.weight = np.ones(votes.shape[1])
         for _ in range(self.rounds):
             posterior = self.posterior(votes)
             self.weight = 1 / self._correlations(votes, posterior)
             posterior = self.posterior(votes)
-            self.accuracy = ((posterior @ votes + 0.8) / (fired + 1)).clip(0.5, 0.98)  # a voter is not worse than chance
+            self.accuracy = ((posterior @ votes + measured * (fired + 1)) / (2 * fired + 1)).clip(0.5, 0.98)  # a voter is not worse than chance
             self.clean = float(np.clip(1 - posterior[silent].mean() if silent.any() else 0.9, 0.5, 0.98))
         return self.posterior(votes)
 
@@ -155,21 +157,20 @@ class LabelModel:
         return np.where(corr > 0.8, corr, 0).clip(0, 1).sum(1).clip(1)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        odds = np.log(self.prior / (1 - self.prior)) + votes @ (self.weight * np.log(self.accuracy / (1 - self.accuracy)))
+        odds = np.log(self.prior / (1 - self.prior)) + votes @ (self.weight * (np.log(self.accuracy / (1 - self.accuracy)) - np.log(self.prior / (1 - self.prior))))
         odds = odds - (votes.sum(1) == 0) * np.log(self.clean / (1 - self.clean))
         return 1 / (1 + np.exp(-odds.clip(-60, 60)))
 
 
-def fit_linear(rows: list[np.ndarray], target: np.ndarray, k: int, rounds: int = 800, rate: float = 0.5, l2: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Logistic regression on sparse 0/1 rows and soft targets, by full-batch Adagrad."""
-    index = np.concatenate([*rows, np.zeros(0, np.int64)])
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+def fit_linear(index: np.ndarray, owner: np.ndarray, target: np.ndarray, k: int, rounds: int = 800, rate: float = 0.5, l2: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Logistic regression on sparse 0/1 rows, given as (row, feature) pairs, and soft targets, by full-batch Adagrad."""
+    n = len(target)
     w, b = np.zeros(k), float(np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3)))
     gw, gb = np.full(k, 1e-8), 1e-8
     for _ in range(rounds):
-        z = np.bincount(owner, w[index], len(rows)) + b
+        z = np.bincount(owner, w[index], n) + b
         error = 1 / (1 + np.exp(-z.clip(-60, 60))) - target
-        g = np.bincount(index, error[owner], k) / len(rows) + l2 * w
+        g = np.bincount(index, error[owner], k) / n + l2 * w
         gw += g * g
         gb += error.mean() ** 2
         w -= rate * g / np.sqrt(gw)
@@ -182,7 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
     rows = training_rows(docs, labels, max_per_class)
     found = induced(rows)
     names = list(dict.fromkeys(["=" + w for w in LEXICON] + [f for f, _, _ in found]))
-    precise = [f for f, pos, neg in found if pos / (pos + neg + 1) >= 0.75]
+    measured = {f: (pos + 0.5) / (pos + neg + 1) for f, pos, neg in found}
+    precise = [f for f, pos, neg in found if measured[f] >= MIN_PRECISION and neg <= MAX_NOISE * pos]
     voters = list(dict.fromkeys(["=" + w for w in LEXICON] + precise))[:MAX_VOTERS]
     number = {f: i for i, f in enumerate(names)}
     shipped = docs.sparkSession.sparkContext.broadcast(number)
@@ -191,24 +193,25 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
         known, cache = shipped.value, {}
         for batch in batches:
             own = [sorted(known[f] for f in features_of(t, cache) if f in known) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int64()))], names=["own"])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32()))], names=["own"])
 
-    sample = [np.array(r["own"], np.int64) for r in rows.mapInArrow(index, "own array<long>").collect()]  # bounded by max_per_class
-    if not sample or not found:
+    own = rows.mapInArrow(index, "own array<int>").toArrow().column("own").combine_chunks()  # bounded by max_per_class
+    if not len(own) or not found:
         return {"=" + w: 6.0 for w in LEXICON}, -3.0
-    column = {number[f]: j for j, f in enumerate(voters)}
-    votes = np.zeros((len(sample), len(voters)), np.float32)
-    for i, own in enumerate(sample):
-        for f in own:
-            if f in column:
-                votes[i, column[f]] = 1
-    posterior = LabelModel().fit(votes)
-    w, b = fit_linear(sample, posterior, len(names))
+    feature = own.flatten().to_numpy()
+    owner = np.repeat(np.arange(len(own), dtype=np.int32), np.diff(own.offsets.to_numpy()))
+    column = np.full(len(names), -1, np.int32)
+    column[[number[f] for f in voters]] = np.arange(len(voters))
+    cast = column[feature] >= 0
+    votes = np.zeros((len(own), len(voters)), np.float32)
+    votes[owner[cast], column[feature[cast]]] = 1
+    posterior = LabelModel().fit(votes, np.array([measured.get(f, 0.9) for f in voters]))
+    w, b = fit_linear(feature, owner, posterior, len(names))
     return {f: float(w[i]) for f, i in number.items() if w[i]}, b
 
 
-def score(docs: DataFrame, weights: dict[str, float], intercept: float, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns and the score of each row's whole text."""
+def score(docs: DataFrame, weights: dict[str, float], intercept: float, keep: list[str], text: str = "text", name: str = "score") -> DataFrame:
+    """``keep`` columns and the score of each row's whole text, named ``name``."""
     model = docs.sparkSession.sparkContext.broadcast((weights, intercept))
 
     @arrow_udf("double")
@@ -230,7 +233,7 @@ def score(docs: DataFrame, weights: dict[str, float], intercept: float, keep: li
                 out.append(1 / (1 + np.exp(-min(60.0, max(-60.0, sum(hit[f] for f in sorted(hit)) + b)))))
             yield pa.array(out, pa.float64())
 
-    return docs.select(*keep, scores(F.col(text)).alias("score"))
+    return docs.select(*keep, scores(F.col(text)).alias(name))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,4 +244,4 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic."""
-    return score(docs, *train(docs, labels), docs.columns).where("score < 0.5").drop("score")
+    return score(docs, *train(docs, labels), docs.columns, name="_tessera_score").where("_tessera_score < 0.5").drop("_tessera_score")
