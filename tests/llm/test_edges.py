@@ -210,7 +210,7 @@ def test_pii_bootstraps_from_contexts(spark, nasty):
 def test_jaccard(spark, nasty):
     got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.components(nasty).collect())
     n = 396
-    assert got == sorted([("1", 0, "1"), ("2", 0, "2"), ("3", 1, "3"), ("4", n, "4"), ("5", n, "4"), ("5", n, "4"), ("6", n, "4"), ("7", 1, "7"), ("8", 1, "8"), ("9", 1, "8"), ("None", 4 - 4 + 1, "None"), ("10", 0, "10"), ("11", 400, "4"), ("12", 11, "12")]) or got
+    assert got == sorted([("1", 0, "1"), ("2", 0, "2"), ("3", 1, "3"), ("4", n, "4"), ("5", n, "4"), ("5", n, "4"), ("6", n, "4"), ("7", 1, "7"), ("8", 1, "8"), ("9", 1, "8"), ("None", 1, "None"), ("10", 0, "10"), ("11", 400, "4"), ("12", 8, "12")])
     kept = jaccard.one_of_each(nasty)
     assert kept.columns == nasty.columns
     assert jaccard.components(empty(nasty)).count() == 0 and jaccard.one_of_each(empty(nasty)).count() == 0
