@@ -1,8 +1,10 @@
 """Benchmark decontamination with DataFrame functions only.
 
-1. Every document is 5-word shingles (64-bit hashes of the normalised words). A shingle that also
-   occurs in an item, at offset j, puts an item-sized window at its position minus j. Only windows that
-   share no shingle with any item, and so have similarity 0 with all of them, are left out.
+1. Every document is 5-word shingles (64-bit hashes of the normalised words). Shingles that also occur
+   in an item place item-sized windows: one that starts where the item would, as the shingle's offset
+   in the item tells, and one that starts at the shingle itself, if enough item shingles lie in it for
+   the threshold. Moving a window on to its next such shingle never lowers its similarity, and windows
+   that hold no more of them than the one before are left out, so the best window is among these.
 2. Distinct windows and items get a 64-bit SimHash of their shingles, weighted by multiplicity.
 3. Multi-index Hamming search: a fingerprint is four blocks of 16 bits. If two fingerprints differ in
    at most 19 bits, some block differs in at most 4, and then some value within 2 flips of either
@@ -22,7 +24,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import checked, table, written
@@ -85,6 +87,25 @@ def bags(rows: DataFrame, key: str, shingles: str) -> DataFrame:
     return rows.select(key, F.explode(shingles).alias("_h")).groupBy(key, "_h").agg(F.count(F.lit(1)).alias("_n"))
 
 
+def dense_starts(hits: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, key, start, len): windows from an item shingle on that hold enough of them.
+
+    Two events a shingle position p, in order: p comes into reach of a window, then a window starts at p.
+    Their running sum is the number of item shingles in the window. Tasks stream over a document's events.
+    """
+    reach = F.col("size") - SHINGLE
+    events = F.array(F.struct((F.col("p") - reach).alias("pos"), F.lit(0).alias("starts")), F.struct(F.col("p").alias("pos"), F.lit(1).alias("starts")))
+    places = hits.where(F.col("size") >= SHINGLE).select("doc_id", "key", "n", "size", "p").distinct()
+    rows = places.select("doc_id", "key", "n", "size", F.explode(events).alias("e")).select("doc_id", "key", "n", "size", "e.*")
+    by = Window.partitionBy("doc_id", "key", "size").orderBy("pos", "starts")
+    seen = F.sum(1 - 2 * F.col("starts")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + 1
+    rows = rows.withColumn("held", seen).withColumn("before", F.lag("starts", 1, 0).over(by)).where("starts = 1")
+    words = F.least(F.col("size"), F.col("n") - F.col("pos"))
+    needed = threshold / (1 + threshold) * (words + F.col("size") - 2 * (SHINGLE - 1)) - 1e-6
+    whole = F.col("pos") + F.col("size") <= F.col("n")
+    return rows.where((F.col("held") >= needed) & ~(whole & (F.col("before") == 1))).select("doc_id", "key", F.col("pos").alias("start"), words.alias("len"))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, similarity): the best window of each matching pair."""
     own = items.select("item_id", sized_shingles(F.col("text")).alias("x")).select("item_id", F.col("x.n").alias("size"), "x.s").where("size > 0")
@@ -96,9 +117,10 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     shingled = keyed.select("doc_id", "key", F.explode(F.array(sized_shingles(F.col("text")))).alias("x"))
     at = shingled.select("doc_id", "key", F.col("x.n").alias("n"), F.posexplode("x.s").alias("p", "h"))
     hits = at.join(F.broadcast(posted) if n <= MAX_BROADCAST_SHINGLES else posted, "h").where(f"(n < {SHINGLE}) = (size < {SHINGLE})")
+    hits = written(hits.select("doc_id", "key", "n", "p", "j", "size"), "hits")
     start = F.greatest(F.col("p") - F.col("j"), F.lit(0))
     end = F.least(F.col("p") - F.col("j") + F.col("size"), F.col("n"))
-    placed = hits.select("doc_id", "key", start.alias("start"), (end - start).alias("len")).distinct()
+    placed = hits.select("doc_id", "key", start.alias("start"), (end - start).alias("len")).union(dense_starts(hits, threshold)).distinct()
     per_doc = placed.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "len")).alias("at"))
 
     d, p = keyed.alias("d"), per_doc.alias("p")

@@ -6,6 +6,7 @@ import re
 import subprocess
 import sys
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -149,6 +150,36 @@ def test_decontamination(spark, nasty):
     assert decontaminate.contaminated(empty(nasty), items).count() == 0 and decontaminate.contaminated(nasty, empty(items)).count() == 0
 
 
+def test_decontamination_against_every_window(spark):
+    rng = np.random.default_rng(8)
+    items = [" ".join(rng.choice(WORDS, n)) for n in (30, 45, 60)]
+    texts = []
+    for i in range(90):
+        words = items[i % 3].split()
+        if i % 2:
+            cut = rng.integers(8, len(words) - 8)  # halves in the other order
+            words = words[cut:] + words[:cut]
+        for _ in range(rng.integers(0, 2)):
+            words[rng.integers(0, 2)] = "edit"
+        at = rng.integers(5, len(words) - 5)
+        words = words[:at] + ["more"] * rng.integers(0, 4) + words[at:]
+        around = [" ".join(rng.choice(WORDS, rng.integers(0, 20))) for _ in range(2)]
+        texts.append(" ".join([around[0], *words, around[1]]).strip())
+    bag = lambda w: Counter(zip(*(w[k:] for k in range(5))))
+    want = {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        for j, item in enumerate(items):
+            b, size = bag(item.split()), len(item.split())
+            best = max((sum((x := bag(w[s : s + size])).values()) and (x & b).total() / (x | b).total()) for s in range(len(w)))
+            if best >= 0.8:
+                want[i, j] = best
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.contaminated(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert got == pytest.approx(want) and len(want) > 20
+    assert any(i % 2 for i, _ in want)
+
+
 def test_toxicity(spark, nasty):
     rng = np.random.default_rng(1)
     rows, labels = [], []
