@@ -60,6 +60,22 @@ def scan(rows: DataFrame, key: str, value: str, exclusive: bool = False) -> Data
     return placed.withColumn("s1", F.coalesce(F.sum(value).over(frame), F.lit(0))).join(F.broadcast(starts), "_b").select(key, (F.col("s0") + F.col("s1")).alias("s"))
 
 
+def ranked(rows: DataFrame, groups: list[str], order: list[str], name: str) -> DataFrame:
+    """``rows`` with their rank from 0 by ``order``, unique within ``groups`` (none: over all rows).
+
+    Like ``scan``: rows are range-partitioned, ranked within a partition and moved on by what a group
+    has in earlier partitions, so a group of any size is spread over many tasks.
+    """
+    dealt = rows.repartitionByRange(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *groups, *order)
+    placed = checkpointed(dealt.withColumn("_b", F.spark_partition_id()))
+    within = Window.partitionBy("_b", *groups).orderBy(*order)
+    earlier = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("_b", *groups).agg(F.count(F.lit(1)).alias("_n"))  # a group has a row for each partition it lies in
+    starts = counts.select("_b", *groups, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_s"))
+    at = placed.withColumn("_r", F.row_number().over(within) - 1)
+    return at.join(starts, ["_b", *groups]).select(*rows.columns, (F.col("_s") + F.col("_r")).cast("long").alias(name))
+
+
 def histogram(texts: DataFrame, column: str, bins: int = 128) -> DataFrame:
     """(bin, cnt) of the characters below ``bins``, zeros included."""
     codes = texts.select(F.explode(F.split(F.col(column), "")).alias("c")).where("c <> ''").select(F.ascii("c").alias("bin")).where(F.col("bin") < bins)

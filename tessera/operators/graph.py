@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.arrays import ranked, scan
 from tessera.plans.storage import checkpointed
 
 
@@ -28,7 +29,7 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 def neighbours(edges: DataFrame) -> DataFrame:
     """Long form of the sorted lists: (src, n, nbr), n from 0."""
-    return edges.select("src", (F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1).cast("long").alias("n"), F.col("dst").alias("nbr"))
+    return ranked(edges.select("src", F.col("dst").alias("nbr")), ["src"], ["nbr"], "n").select("src", "n", "nbr")
 
 
 def orient(edges: DataFrame) -> DataFrame:
@@ -102,7 +103,8 @@ def triangle_rows(dag: DataFrame) -> DataFrame:
 def triangle_types(edges: DataFrame, parts: int) -> DataFrame:
     """(type1, type3, total): triangles with two or three vertices in one part (id mod parts), or in three parts.
 
-    Type 1 counts in the subgraph of all edges that touch a part; type 3 joins the edges between parts.
+    Type 1 counts in the subgraph of all edges that touch a part; type 3 intersects the lists of edges
+    between two parts, less what lies in either. All lists are those of the oriented graph.
     """
     dag = orient(edges).withColumn("ps", F.pmod("src", F.lit(parts))).withColumn("pd", F.pmod("dst", F.lit(parts)))
     touched = dag.select("src", "dst", F.explode(F.array_distinct(F.array("ps", "pd"))).alias("part"))
@@ -110,9 +112,11 @@ def triangle_types(edges: DataFrame, parts: int) -> DataFrame:
     left = adj.select("part", F.explode("nbrs").alias("dst"), F.col("nbrs").alias("a"))
     both = left.join(adj.select("part", F.col("src").alias("dst"), F.col("nbrs").alias("b")), ["part", "dst"])
     one = both.agg(F.coalesce(F.sum(F.size(F.array_intersect("a", "b"))), F.lit(0)).cast("long").alias("type1"))
-    across = edges.withColumn("ps", F.pmod("src", F.lit(parts))).withColumn("pd", F.pmod("dst", F.lit(parts))).where("ps < pd")
-    ab, bc, ac = across.toDF("a", "b", "pa", "pb"), across.toDF("b", "c", "pb", "pc"), across.toDF("a", "c", "pa", "pc")
-    three = ab.join(bc, ["b", "pb"]).join(ac, ["a", "c", "pa", "pc"]).agg(F.count(F.lit(1)).alias("type3"))
+    all_adj = adjacency(dag)
+    across = all_adj.select("src", F.explode("nbrs").alias("dst"), F.col("nbrs").alias("a")).where(F.pmod("src", F.lit(parts)) != F.pmod("dst", F.lit(parts)))
+    ends = across.join(all_adj.select(F.col("src").alias("dst"), F.col("nbrs").alias("b")), "dst")
+    third = lambda w: ~F.pmod(w, F.lit(parts)).isin(F.pmod("src", F.lit(parts)), F.pmod("dst", F.lit(parts)))
+    three = ends.agg(F.coalesce(F.sum(F.size(F.filter(F.array_intersect("a", "b"), third))), F.lit(0)).cast("long").alias("type3"))
     return one.join(three).select("type1", "type3", (F.col("type1") + F.col("type3")).alias("total"))
 
 
@@ -175,8 +179,8 @@ def frequent_vertices(vertices: DataFrame, threshold: int) -> DataFrame:
 def label_index(vertices: DataFrame) -> DataFrame:
     """(label, pos, id) with the offset of each label's block: ids grouped by label, ascending."""
     counts = vertices.groupBy("label").agg(F.count(F.lit(1)).alias("c"))
-    starts = counts.select("label", F.coalesce(F.sum("c").over(Window.orderBy("label").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("offset"))
-    rows = vertices.select("label", "id", (F.row_number().over(Window.partitionBy("label").orderBy("id")) - 1).cast("long").alias("pos"))
+    starts = scan(counts, "label", "c", exclusive=True).select("label", F.col("s").cast("long").alias("offset"))
+    rows = ranked(vertices.select("label", "id"), ["label"], ["id"], "pos")
     return rows.join(starts, "label").select("label", "offset", "pos", "id")
 
 

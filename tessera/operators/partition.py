@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.arrays import ranked
+
 
 def range_part(column, n: int, k: int):
     """Part of a vertex 0..n-1 among k ranges of ceil(n / k)."""
@@ -29,7 +31,7 @@ def halo_partition(edges: DataFrame, n: int, k: int) -> DataFrame:
 
 def induced(edges: DataFrame, chosen: DataFrame) -> DataFrame:
     """Edges with both ends in chosen(id), with dense local ids by ascending id: (src, dst, lsrc, ldst)."""
-    local = chosen.select("id", (F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("l"))
+    local = ranked(chosen.select("id"), [], ["id"], "l")
     return edges.join(local.toDF("src", "lsrc"), "src").join(local.toDF("dst", "ldst"), "dst").select("src", "dst", "lsrc", "ldst")
 
 
@@ -40,7 +42,7 @@ def segments(edges: DataFrame, n: int, k: int) -> DataFrame:
 
 def cluster_rank(clusters: DataFrame) -> DataFrame:
     """(id, cluster, rank): ordinal of a vertex in its cluster, from 0."""
-    return clusters.select("id", "cluster", (F.row_number().over(Window.partitionBy("cluster").orderBy("id")) - 1).cast("long").alias("rank"))
+    return ranked(clusters.select("id", "cluster"), ["cluster"], ["id"], "rank")
 
 
 def blocks(edges: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -52,11 +54,8 @@ def blocks(edges: DataFrame, clusters: DataFrame) -> DataFrame:
 def fetch(edges: DataFrame, clusters: DataFrame, chosen: list[int]) -> DataFrame:
     """(lsrc, ldst): subgraph of the chosen clusters, local ids by the clusters' order and then by rank."""
     order = F.coalesce(*[F.when(F.col("cluster") == c, i) for i, c in enumerate(chosen)])
-    some = clusters.where(F.col("cluster").isin(chosen)).withColumn("o", order)
-    sizes = some.groupBy("o").agg(F.count(F.lit(1)).alias("m"))  # a row for each chosen cluster
-    starts = sizes.select("o", F.coalesce(F.sum("m").over(Window.orderBy("o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("s"))
-    ranked = some.select("id", "o", (F.row_number().over(Window.partitionBy("o").orderBy("id")) - 1).alias("r"))
-    local = ranked.join(starts, "o").select("id", (F.col("s") + F.col("r")).cast("long").alias("l"))
+    some = clusters.where(F.col("cluster").isin(chosen)).select("id", order.alias("o"))
+    local = ranked(some, [], ["o", "id"], "l").select("id", "l")
     return edges.join(local.toDF("src", "lsrc"), "src").join(local.toDF("dst", "ldst"), "dst").select("lsrc", "ldst")
 
 

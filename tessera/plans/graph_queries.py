@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
@@ -77,12 +77,12 @@ def neighbours(g):
 
 @graph_query("nth_neighbour", "SELECT src, nbr FROM (SELECT src, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 n, dst nbr FROM e) WHERE n = 2")
 def nth_neighbour(g):
-    return G.adjacency(g.edges).where(F.size("nbrs") > 2).select("src", F.get("nbrs", F.lit(2)).alias("nbr"))
+    return G.neighbours(g.edges).where("n = 2").select("src", "nbr")
 
 
 @graph_query("out_neighbours_from", "SELECT src, nbr FROM (SELECT src, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 n, dst nbr FROM e) WHERE n >= 100")
 def out_neighbours_from(g):
-    return G.adjacency(g.edges).select("src", F.explode(F.slice("nbrs", F.lit(101), F.greatest(F.size("nbrs") - 100, F.lit(0)))).alias("nbr"))
+    return G.neighbours(g.edges).where("n >= 100").select("src", "nbr")
 
 
 @graph_query("in_neighbours", "SELECT dst id, src nbr FROM dag")
@@ -117,11 +117,10 @@ def edgelist_desc(g):
 
 @graph_query("edgelist_split", "SELECT src, dst, CAST(floor((row_number() OVER (ORDER BY src, dst) - 1) / ceil((SELECT count(*) FROM e) / 4.0)) AS BIGINT) device FROM e")
 def edgelist_split(g):
-    """Contiguous ranges of ceil(E / k) edges in order: rank within a source, after the sources before."""
-    before = A.scan(G.degrees(g.edges), "id", "degree", exclusive=True).withColumnRenamed("id", "src")
+    """Contiguous ranges of ceil(E / k) edges in order."""
     total = g.edges.agg(F.ceil(F.count(F.lit(1)) / PARTS).alias("m"))
-    rows = G.neighbours(g.edges).join(before, "src").join(F.broadcast(total))
-    return rows.select("src", F.col("nbr").alias("dst"), F.floor((F.col("s") + F.col("n")) / F.col("m")).alias("device"))
+    rows = A.ranked(g.edges.select("src", "dst"), [], ["src", "dst"], "r").join(F.broadcast(total))
+    return rows.select("src", "dst", F.floor(F.col("r") / F.col("m")).alias("device"))
 
 
 @graph_query("vertices_by_label", "SELECT id FROM v WHERE label = 7")
@@ -208,7 +207,7 @@ def triples(spark, d):
     """Index and sorted triple of the C(k, 3) part triples, in lexicographic order; k is the number of parts."""
     r = spark.range(6)
     rows = r.toDF("a").join(r.toDF("b"), F.col("a") < F.col("b")).join(r.toDF("c"), F.col("b") < F.col("c"))
-    return rows.select((F.row_number().over(Window.orderBy("a", "b", "c")) - 1).cast("long").alias("idx"), "a", "b", "c")
+    return A.ranked(rows, [], ["a", "b", "c"], "idx").select("idx", "a", "b", "c")
 
 
 @graph_query("triangle_push_pull", "SELECT CASE WHEN x.src % 4 = x.dst % 4 THEN 'local' WHEN s.d < coalesce(t.d, 0) THEN 'push' ELSE 'pull' END cls, count(*) triangles FROM dag x JOIN dag y ON y.src = x.dst JOIN dag z ON z.src = x.src AND z.dst = y.dst JOIN od s ON s.id = x.src LEFT JOIN od t ON t.id = x.dst GROUP BY 1")
@@ -288,11 +287,8 @@ def label_propagation(spark, d):
 
 @graph_query("degree_positions", "SELECT v.id, CAST(row_number() OVER (ORDER BY coalesce(d, 0), v.id) - 1 AS BIGINT) pos FROM v LEFT JOIN deg ON deg.id = v.id")
 def degree_positions(g):
-    """Position in (degree, id) order by a counting sort: rank within a degree after the smaller degrees."""
-    d = G.all_degrees(g.vertices, g.edges)
-    starts = A.scan(d.groupBy("degree").agg(F.count(F.lit(1)).alias("m")), "degree", "m", exclusive=True)
-    ranked = d.withColumn("r", F.row_number().over(Window.partitionBy("degree").orderBy("id")) - 1)
-    return ranked.join(starts, "degree").select("id", (F.col("s") + F.col("r")).cast("long").alias("pos"))
+    """Position in (degree, id) order."""
+    return A.ranked(G.all_degrees(g.vertices, g.edges), [], ["degree", "id"], "pos").select("id", "pos")
 
 
 @graph_query("row_pointers", "SELECT v.id, CAST(sum(coalesce(d, 0)) OVER (ORDER BY v.id) - coalesce(d, 0) AS BIGINT) s FROM v LEFT JOIN deg ON deg.id = v.id")
@@ -432,3 +428,13 @@ query("all_to_all", f"SELECT CAST(p.pe AS BIGINT) pe, CAST(s.pe AS BIGINT) src,
 query("queue_sum", f"SELECT CAST(pe AS BIGINT) pe, CAST(18 AS BIGINT) total FROM {PES}")(lambda spark, d: M.queue_sum(spark, PARTS, 2, 3))
 query("linked_queue_sum", f"SELECT CAST(pe AS BIGINT) pe, CAST(3 * 2 * 499500 AS BIGINT) total FROM {PES}")(lambda spark, d: M.queue_sum(spark, PARTS, 2, 1000))
 query("stop_flag", f"SELECT CAST(pe AS BIGINT) pe, CAST(CASE WHEN pe = 0 THEN 0 ELSE 1 END AS INTEGER) AS stop FROM {PES}")(lambda spark, d: M.stop_flag(spark, PARTS))
+query("ring_copy", "SELECT event_id i, user_id x FROM events")(lambda spark, d: M.ring_copy(read_table(spark, d, "events").select(F.col("event_id").alias("i"), F.col("user_id").alias("x")), PARTS))
+query("thread_counters", "SELECT CAST(4 AS BIGINT) a, CAST(1 AS BIGINT) b")(lambda spark, d: M.thread_counters(spark, PARTS))
+
+
+@query("resources")
+def resources(spark, d):
+    """What the session may use: (setting, value)."""
+    sc = spark.sparkContext
+    found = [("default_parallelism", str(sc.defaultParallelism)), ("executor_memory", sc.getConf().get("spark.executor.memory", "1g")), ("shuffle_partitions", spark.conf.get("spark.sql.shuffle.partitions"))]
+    return spark.createDataFrame(found, "setting string, value string")

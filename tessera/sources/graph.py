@@ -10,8 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed widths of the raw files: row pointers, column indices.
-ROWPTR, COLIDX = "<i8", "<i4"
+from tessera.functions.arrays import ranked
+
+#: Fixed widths of the raw files: row pointers, column indices, vertex lists and part maps.
+ROWPTR, COLIDX, VERTEX_LIST = "<i8", "<i4", "<i8"
+PARTITION_META_FIELDS = ["nv", "n_real", "ne", "max_subg_nv", "max_subg_ne", "max_degree"]
 META_FIELDS = ["nv", "ne", "vid_size", "eid_size", "vlabel_size", "elabel_size", "max_degree", "feat_len", "nvclasses", "neclasses"]
 
 
@@ -42,9 +45,14 @@ def from_edges(spark: SparkSession, pairs: list[tuple[int, int]], n: int | None
     return Graph(vertices, spark.createDataFrame(pairs, "src long, dst long"))
 
 
-def read_meta(spark: SparkSession, prefix: str, bipartite: bool = False) -> DataFrame:
-    """One row of the fields of ``<prefix>.meta.txt``; a bipartite one starts with the two sides' sizes."""
+def read_meta(spark: SparkSession, prefix: str, bipartite: bool = False, partition: int | None = None) -> DataFrame:
+    """One row of the fields of ``<prefix>.meta.txt``; a bipartite one starts with the two sides' sizes.
+
+    With ``partition``, those of ``<prefix><partition>.meta.txt``, one rank's part of a graph.
+    """
     fields = (["nv_left", "nv_right"] + META_FIELDS[1:]) if bipartite else META_FIELDS
+    if partition is not None:
+        fields, prefix = PARTITION_META_FIELDS, f"{prefix}{partition}"
     words = F.filter(F.split(F.col("value"), r"\s+"), lambda w: w != "")
     row = spark.read.text(f"{prefix}.meta.txt", wholetext=True).select(words.alias("w"))
     return row.select(*[F.get("w", i).cast("long").alias(f) for i, f in enumerate(fields)])
@@ -85,6 +93,42 @@ def read_labels(spark: SparkSession, path: str, vertices: DataFrame, classes: in
     return vertices.select("id").join(labels, "id")
 
 
+def _numbers(spark: SparkSession, path: str, width: str, name: str) -> DataFrame:
+    """(n, name): the numbers of a raw file and their places. A file is decoded by one task."""
+
+    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for content in frame["content"]:
+                values = np.frombuffer(content, width)
+                for at in range(0, len(values), 1 << 20):
+                    part = values[at : at + (1 << 20)].astype(np.int64)
+                    yield pd.DataFrame({"n": np.arange(at, at + len(part)), name: part})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, f"n long, {name} long")
+
+
+def read_partition(spark: SparkSession, prefix: str, rank: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One rank's part of a graph: edges(src, dst), its own vertices(n, id), and the map (id, part) of all."""
+    own = f"{prefix}{rank}"
+    parts = _numbers(spark, f"{own}.part.bin", VERTEX_LIST, "part").withColumnRenamed("n", "id")
+    return read_csr(spark, own), _numbers(spark, f"{own}.vertex_list.bin", VERTEX_LIST, "id"), parts
+
+
+def read_edge_labels(spark: SparkSession, path: str, edges: DataFrame, classes: int) -> DataFrame:
+    """edges(src, dst, label) from a file of one byte per edge in (src, dst) order.
+
+    Without a file, ``1 + hash(src, dst) mod classes``, or 1 if no classes are stated.
+    """
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
+        return edges.select("src", "dst", (F.pmod(F.xxhash64("src", "dst"), F.lit(max(classes, 1))) + 1).cast("int").alias("label"))
+    labels = _numbers(spark, path, "u1", "label")
+    found = labels.select("label").distinct().count()
+    if found > classes:
+        raise ValueError(f"{found} labels in {path}, {classes} stated")
+    return ranked(edges.select("src", "dst"), [], ["src", "dst"], "n").join(labels, "n").select("src", "dst", F.col("label").cast("int").alias("label"))
+
+
 def write_partitioned(edges: DataFrame, parts: list[str], path: str) -> None:
     """Edges as Parquet folders by partition columns, which later reads prune."""
     edges.repartition(*parts).write.partitionBy(*parts).parquet(path)

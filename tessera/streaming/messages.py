@@ -46,3 +46,13 @@ def queue_sum(spark: SparkSession, n: int, warps: int, size: int) -> DataFrame:
 def stop_flag(spark: SparkSession, n: int) -> DataFrame:
     """(pe, stop): all but element 0 see the flag that it sets."""
     return elements(spark, n).select("pe", (F.col("pe") != 0).cast("int").alias("stop"))
+
+
+def ring_copy(message: DataFrame, n: int) -> DataFrame:
+    """The message after n - 1 copies from element to element and back: unchanged, so no copy is made."""
+    return message
+
+
+def thread_counters(spark: SparkSession, n: int) -> DataFrame:
+    """(a, b): a counter that every element adds to, and one that a single element adds to."""
+    return elements(spark, n).agg(F.count(F.lit(1)).alias("a"), F.count(F.when(F.col("pe") == 0, 1)).alias("b"))

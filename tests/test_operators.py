@@ -94,6 +94,35 @@ def test_raw_csr_round_trip(spark, tmp_path):
         S.read_labels(spark, f"{prefix}.vlabel.bin", vertices, 3)
 
 
+def test_raw_partition_and_edge_labels(spark, tmp_path):
+    edges = [(0, 1), (0, 2), (2, 1)]
+    (tmp_path / "p1.vertex.bin").write_bytes(np.array([0, 2, 2, 3], "<i8").tobytes())
+    (tmp_path / "p1.edge.bin").write_bytes(np.array([1, 2, 1], "<i4").tobytes())
+    (tmp_path / "p1.meta.txt").write_text("3 2 3\n2 3 2\n")
+    (tmp_path / "p1.vertex_list.bin").write_bytes(np.array([0, 2], "<i8").tobytes())
+    (tmp_path / "p1.part.bin").write_bytes(np.array([1, 0, 1], "<i8").tobytes())
+    (tmp_path / "p1.elabel.bin").write_bytes(bytes([5, 6, 5]))
+    prefix = f"file://{tmp_path}/p"
+    got, own, parts = S.read_partition(spark, prefix, 1)
+    assert sorted((r["src"], r["dst"]) for r in got.collect()) == edges
+    assert [r["id"] for r in own.orderBy("n").collect()] == [0, 2] and [r["part"] for r in parts.orderBy("id").collect()] == [1, 0, 1]
+    assert S.read_meta(spark, prefix, partition=1).first().asDict() == {"nv": 3, "n_real": 2, "ne": 3, "max_subg_nv": 2, "max_subg_ne": 3, "max_degree": 2}
+    assert sorted(tuple(r) for r in S.read_edge_labels(spark, f"{prefix}1.elabel.bin", got, 2).collect()) == [(0, 1, 5), (0, 2, 6), (2, 1, 5)]
+    assert {r["label"] for r in S.read_edge_labels(spark, f"{prefix}.none", got, 0).collect()} == {1}
+    with pytest.raises(ValueError):
+        S.read_edge_labels(spark, f"{prefix}1.elabel.bin", got, 1)
+
+
+def test_ranks_of_a_hot_group(spark):
+    rows = spark.range(1000).select((F.col("id") % 10 == 0).cast("int").alias("g"), "id")
+    got = A.ranked(rows, ["g"], ["id"], "r").collect()
+    want = {}
+    for g in (0, 1):
+        want |= {i: r for r, i in enumerate(i for i in range(1000) if (i % 10 == 0) == bool(g))}
+    assert {r["id"]: r["r"] for r in got} == want
+    assert A.ranked(rows.where("false"), [], ["id"], "r").count() == 0
+
+
 def test_partition_sinks_prune(spark, tmp_path):
     g = S.from_edges(spark, both(K5))
     clusters = g.vertices.select("id", (F.col("id") % 2).alias("cluster"))
