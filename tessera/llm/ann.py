@@ -1,16 +1,19 @@
 """Approximate nearest neighbours by inner product, with cross-polytope hashing.
 
-Vectors get one more component that gives all of them the largest norm, so the largest inner product is
-the smallest angle, and are scaled to unit length. Per table three rounds of random signs and a fast
-Hadamard transform rotate them; a vector's bucket is the nearest signed axis. A query probes the
-nearest ``share`` of the signed axes in each of ``TABLES`` tables and ranks all vectors found there by
-their exact inner product in double precision, summed component by component.
+Vectors are scaled to unit length. Per table three rounds of random signs and a fast Hadamard
+transform rotate them; a vector's bucket is the nearest signed axis. A query probes the nearest
+``share`` of the signed axes in each of ``TABLES`` tables and ranks all vectors found there by their
+exact inner product in double precision, summed component by component.
+
+Norms enter by ranges, powers of two, that are all probed and ranked together: within a range a large
+inner product is a small angle up to a factor of two, and vectors of one range never change the
+buckets of another.
 
 Equal vectors form one class that is searched once: a query's nearest ids lie among the ``k + 1``
 smallest ids of each class. The index is sharded: a shard holds the tables of at most about
 ``SHARD`` classes, and blocks of ``QUERIES`` query classes visit all shards, so no bucket, however
-common, has to fit in a task. ``share`` grows for small tables, where angles to the nearest are
-wide: at least ``LEAST`` vectors are probed (all, if there are fewer).
+common, has to fit in a task. ``share`` grows for small ranges, where angles to the nearest are wide:
+about ``LEAST`` vectors or more of each range are probed (all, if there are fewer).
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components take no part, as
 queries or as candidates; vectors of different lengths are never compared; ties go to the smaller
@@ -52,16 +55,12 @@ def rotated(x: np.ndarray, which: int) -> np.ndarray:
     return x
 
 
-def unit(x: np.ndarray, largest: float, query: bool) -> np.ndarray:
-    """Rows of equal norm: padded to a power of two, with the missing norm in the component after the last."""
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of unit length, padded to a power of two."""
     n, d = x.shape
     out = np.zeros((n, 1 << d.bit_length()))
     out[:, :d] = x
-    norms = np.sqrt((x * x).sum(1))
-    if query:
-        return out / norms[:, None]
-    out[:, d] = np.sqrt(np.maximum(largest * largest - norms * norms, 0))
-    return out / largest
+    return out / np.sqrt((x * x).sum(1))[:, None]
 
 
 def buckets(x: np.ndarray) -> np.ndarray:
@@ -87,12 +86,18 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return total
 
 
-def search_shard(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, x: np.ndarray, largest: float, share: float, k: int) -> list[tuple[int, int, float]]:
-    """(query, class, score) of the k best candidates of each query in a shard; more if the last ones tie."""
-    base, ask = unit(x, largest, False), unit(q, largest, True)
+def search_shard(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, x: np.ndarray, shares: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+    """(query, class, score) of the k best candidates of each query in a shard; more if the last ones tie.
+
+    ``shares`` holds for each vector the share of the axes that its range is probed with.
+    """
+    base, ask = unit(x), unit(q)
     found = np.zeros((len(q), len(x)), bool)
     for t in range(TABLES):
-        found |= probes(rotated(ask, t), share)[:, buckets(rotated(base, t))]
+        to, at = rotated(ask, t), buckets(rotated(base, t))
+        for share in np.unique(shares):
+            some = np.flatnonzero(shares == share)
+            found[:, some] |= probes(to, share)[:, at[some]]
     out = []
     for i in range(len(q)):
         some = np.flatnonzero(found[i])
@@ -125,26 +130,28 @@ def nearest(df: DataFrame, vec_id: str, embedding: str, queries, k: int = K, sha
     spark = df.sparkSession
     classes = vector_classes(df, vec_id, embedding, k)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, c: acc + c * c))
-    sizes = {r["dim"]: (r["n"], r["m"]) for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("m")).collect()}  # a row for each vector length
+    scale = F.coalesce(F.floor(F.log2(norm)), F.lit(0)).cast("long").alias("scale")
+    sizes = {(r["dim"], r["scale"]): r["n"] for r in classes.groupBy("dim", scale).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each vector length and power of two
     v = F.col(embedding).cast("array<double>")
     asked = df.where(queries).select(F.col(vec_id).cast("long").alias("query_id"), F.xxhash64(v).alias("k1"), F.xxhash64(F.lit(1), v).alias("k2")).where("query_id is not null").distinct()
     asked = asked.join(classes.select("k1", "k2", "cid"), ["k1", "k2"]).select("query_id", F.col("cid").alias("qcid"))
     asked = written(asked, "queries")
     who = asked.select(F.col("qcid").alias("cid")).distinct()
-    n_shards = max(1, -(-sum(n for n, _ in sizes.values()) // SHARD))
+    n_shards = max(1, -(-sum(sizes.values()) // SHARD))
     n_blocks = max(1, -(-who.count() // QUERIES))
     shipped = spark.sparkContext.broadcast(sizes)
 
     shard, block = F.pmod(F.xxhash64("cid"), F.lit(n_shards)).cast("int"), F.pmod(F.xxhash64(F.lit(2), "cid"), F.lit(n_blocks)).cast("int")
-    base = classes.select("cid", "dim", "v", F.lit(False).alias("query"), shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-    ask = classes.join(who, "cid", "left_semi").select("cid", "dim", "v", F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), block.alias("block"))
+    base = classes.select("cid", "dim", "v", scale, F.lit(False).alias("query"), shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+    ask = classes.join(who, "cid", "left_semi").select("cid", "dim", "v", scale, F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), block.alias("block"))
 
     def run(key, group):
-        n, largest = shipped.value[key[0].as_py()]
+        dim, held = key[0].as_py(), group.column("scale").to_numpy()
         query = group.column("query").to_numpy()
         ids = group.column("cid").to_numpy()
         vectors = group.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        rows = search_shard(ids[query], vectors[query], ids[~query], vectors[~query], largest, min(1.0, max(share, least / n)), k + 1) if query.any() and not query.all() else []
+        shares = np.array([min(1.0, max(share, least / shipped.value[dim, e])) for e in held[~query].tolist()])
+        rows = search_shard(ids[query], vectors[query], ids[~query], vectors[~query], shares, k + 1) if query.any() and not query.all() else []
         columns = list(zip(*rows)) or [(), (), ()]
         return pa.table({"qcid": pa.array(columns[0], pa.int64()), "cid": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 

@@ -65,6 +65,34 @@ def test_ann(spark):
     assert ann.nearest(empty(df), "vec_id", "embedding", df["vec_id"] % 3 == 0).count() == 0
 
 
+def ann_recall(spark, x, **options):
+    """Mean recall at 20 of every 160th of the rows, and the least number of rows a query got."""
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(df, "vec_id", "embedding", df["vec_id"] % 160 == 0, **options).select("query_id", "vec_id").collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    x = x.astype(np.float32).astype(float)
+    hits = []
+    for q in range(0, len(x), 160):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits.append(len(got[q] & set(np.argsort(-score)[:20].tolist())) / 20)
+    return np.mean(hits), min(map(len, got.values()))
+
+
+@pytest.mark.parametrize("norms", ["outlier", "lognormal"])
+def test_ann_recall_with_unequal_norms(spark, norms):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(16_000, 64))
+    x *= 1.5 / np.linalg.norm(x, axis=1)[:, None]
+    if norms == "outlier":
+        x[7] *= 1000
+    else:
+        x *= np.exp(rng.normal(size=len(x)) * 0.8)[:, None]
+    recall, rows = ann_recall(spark, x)
+    assert recall >= 0.9 and rows == 20
+
+
 def test_warc_round_trip(spark):
     big = "x" * 700_000
     rows = [(1, None, None), (2, "http://a/\r\n", "é" * 60), (3, "u", "é" * 60), (4, "u", big), (5, "u", big), (6, "u", "short"), (7, "u", "short"), (None, "u", big)]
