@@ -106,8 +106,8 @@ def dense_starts(hits: DataFrame, threshold: float) -> DataFrame:
     return rows.where((F.col("held") >= needed) & ~(whole & (F.col("before") == 1))).select("doc_id", "key", F.col("pos").alias("start"), words.alias("len"))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, first_word, n_words, similarity): the best window of each matching pair."""
+def passages(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, key, item_id, start, len, similarity): the matching windows; key is the text's digest."""
     own = items.select("item_id", sized_shingles(F.col("text")).alias("x")).select("item_id", F.col("x.n").alias("size"), "x.s").where("size > 0")
     own = written(own, "items")
     posted = own.select("size", F.posexplode("s").alias("j", "h")).distinct()
@@ -124,10 +124,10 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     per_doc = placed.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "len")).alias("at"))
 
     d, p = keyed.alias("d"), per_doc.alias("p")
-    found = d.join(p, F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.key") == F.col("p.key"))).select("d.doc_id", "d.text", "p.at")
+    found = d.join(p, F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.key") == F.col("p.key"))).select("d.doc_id", "d.key", "d.text", "p.at")
     cut = let(words_of(F.col("text")), lambda w: F.transform("at", lambda a: F.struct(a["start"].alias("start"), a["len"].alias("len"), F.slice(w, a["start"] + 1, a["len"]).alias("w"))))
-    spans = found.select("doc_id", F.explode(cut).alias("a")).select("doc_id", "a.*")
-    windows = written(spans.select("doc_id", "start", "len", F.md5(F.array_join("w", " ")).alias("wkey"), shingles_of(F.col("w")).alias("s")).distinct(), "windows")
+    spans = found.select("doc_id", "key", F.explode(cut).alias("a")).select("doc_id", "key", "a.*")
+    windows = written(spans.select("doc_id", "key", "start", "len", F.md5(F.array_join("w", " ")).alias("wkey"), shingles_of(F.col("w")).alias("s")).distinct(), "windows")
     distinct = windows.select("wkey", "s").dropDuplicates(["wkey"])
 
     a = near_blocks(written(simhashes(distinct, "wkey", "s"), "window-simhashes"), "wkey").withColumnRenamed("fp", "wfp")
@@ -140,7 +140,12 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     similarity = F.col("inter") / (F.col("_ws") + F.col("_is") - F.col("inter"))
     matches = sized.withColumn("similarity", similarity).where(F.col("similarity") >= threshold).select("wkey", "item_id", "similarity")
 
-    rows = windows.select("doc_id", "start", "len", "wkey").join(matches, "wkey")
+    return windows.select("doc_id", "key", "start", "len", "wkey").join(matches, "wkey").drop("wkey")
+
+
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, item_id, first_word, n_words, similarity): the best window of each matching pair."""
+    rows = passages(docs, items, threshold)
     best = rows.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("start"), "len")).alias("m"))
     return best.select("doc_id", "item_id", (-F.col("m.start")).cast("long").alias("first_word"), F.col("m.len").cast("long").alias("n_words"), F.col("m.similarity").alias("similarity"))
 
@@ -150,6 +155,8 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents without a benchmark passage."""
-    hit = checked(contaminated(docs, items).select(F.col("doc_id").alias("_tessera_id")).distinct())
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_tessera_id")), "left_anti")
+    """The documents without a benchmark passage; another text under the same doc_id is another document."""
+    hit = checked(passages(docs, items).select(F.col("doc_id").alias("_tessera_id"), F.col("key").alias("_tessera_key")).distinct())
+    keyed = docs.withColumn("_tessera_k", F.md5(F.coalesce("text", F.lit(""))))
+    same = F.col("doc_id").eqNullSafe(F.col("_tessera_id")) & (F.col("_tessera_k") == F.col("_tessera_key"))
+    return keyed.join(hit, same, "left_anti").drop("_tessera_k")

@@ -1,6 +1,6 @@
 """Exact Jaccard join of documents' 5-word shingle sets, by prefixes and a prefix tree.
 
-1. Equal sets form one class; the document of the least doc_id stands for it.
+1. Equal sets form one class; the document of the least doc_id, then text digest, stands for it.
 2. Shingles have one global order: rare ones by hash, then the frequent ones by frequency. (Which count
    as frequent comes from counts over all documents; it moves work, never results.) Two sets of Jaccard
    similarity ``percent`` or more share a shingle among the first n - ceil(percent * n) + 1 of each.
@@ -21,7 +21,8 @@ Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Shingles are 63-bit h
 Edge cases: a null text or one without words has an empty set, is linked with nothing and is its own
 component; a text of fewer than five words is one shingle; repeated rows share a class and give a
 row each; a null doc_id never names a component unless all its members are null; an empty table
-gives no rows; extra columns are ignored.
+gives no rows; extra columns are ignored. Documents are told apart by doc_id and text digest, so
+different texts under one doc_id, or without one, are different documents.
 """
 
 from __future__ import annotations
@@ -92,11 +93,15 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def text_key():
+    return F.md5(F.coalesce("text", F.lit("")))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """Written rows: (doc_id, n, h1, h2, sketch) of each document, and (h1 = shingle, n = count) with frequent = true."""
+    """Written rows: (doc_id, key, n, h1, h2, sketch) of each document, and (h1 = shingle, n = count) with frequent = true."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "h1", "h2", "frequent", "sketch"]
+        names = ["doc_id", "n", "h1", "h2", "frequent", "sketch", "key"]
         held: list[np.ndarray] = []
 
         def counted() -> Iterator[pa.RecordBatch]:
@@ -105,28 +110,28 @@ def signatures(docs: DataFrame) -> DataFrame:
             values, counts = values[keep], counts[keep]
             held.clear()
             zero = pa.nulls(len(values), pa.int64())
-            yield pa.RecordBatch.from_arrays([zero, pa.array(counts.astype(np.int64)), pa.array(values.astype(np.int64)), zero, pa.array(np.ones(len(values), bool)), pa.nulls(len(values), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([zero, pa.array(counts.astype(np.int64)), pa.array(values.astype(np.int64)), zero, pa.array(np.ones(len(values), bool)), pa.nulls(len(values), pa.binary()), pa.nulls(len(values), pa.string())], names=names)
 
         size = 0
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, text, key in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 s = shingle_set(text.as_py())
                 digest = xxhash.xxh3_128_intdigest(s.tobytes())
-                out.append((doc_id, len(s), (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63), False, sketch(s)))
+                out.append((doc_id, len(s), (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63), False, sketch(s), key))
                 held.append(s)
                 size += len(s)
                 if size >= CHUNK:
                     yield from counted()
                     size = 0
             if out:
-                kinds = [pa.int64()] * 4 + [pa.bool_(), pa.binary()]
+                kinds = [pa.int64()] * 4 + [pa.bool_(), pa.binary(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
         if held:
             yield from counted()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(rows.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, frequent boolean, sketch binary"), "signatures")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("key"))
+    return written(rows.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, frequent boolean, sketch binary, key string"), "signatures")
 
 
 def ordered(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -139,26 +144,42 @@ def ordered(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarra
     return np.sort(np.where(hit, TOP | ranks[at] << np.uint64(32), s))
 
 
-def _rep_sets(docs: DataFrame, reps: DataFrame, frequent, emit, schema: str) -> DataFrame:
-    """Runs ``emit(keys, row)`` -> list of columns for every row of ``reps`` (cls, rep, h1, h2, to1, to2, to3).
+def _same(doc_id: str, key: str):
+    """Whether a row is the document of a side table's ``_tessera_id`` and ``_tessera_key``."""
+    return F.col(doc_id).eqNullSafe(F.col("_tessera_id")) & (F.col(key) == F.col("_tessera_key"))
+
+
+def repeated(own: DataFrame) -> DataFrame:
+    """Documents of ``own`` (doc_id, key) with more than one row."""
+    counts = own.groupBy(F.col("doc_id").alias("_tessera_id"), F.col("key").alias("_tessera_key")).agg(F.count(F.lit(1)).alias("n"))
+    return checked(counts.where("n > 1").select("_tessera_id", "_tessera_key"))
+
+
+def distinct_texts(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """(_id, _key, text), once for each document."""
+    d = docs.select(F.col("doc_id").cast("long").alias("_id"), text_key().alias("_key"), "text")
+    again = repeated(own)
+    if again.isEmpty():
+        return d
+    once = written(d.join(again, _same("_id", "_key"), "left_semi").dropDuplicates(["_id", "_key"]), "repeated-texts")
+    return d.join(again, _same("_id", "_key"), "left_anti").union(once)
+
+
+def _rep_sets(texts: DataFrame, reps: DataFrame, frequent, emit, schema: str) -> DataFrame:
+    """Runs ``emit(keys, row)`` -> list of columns for every row of ``reps`` (cls, rep, key, to1, to2, to3).
 
     ``keys`` is the class's ordered set, worked out once for rows of a class that follow one another.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
-    both = d.join(reps, F.col("_id").eqNullSafe(F.col("rep"))).select("cls", "h1", "h2", "to1", "to2", "to3", "text")
+    both = texts.join(reps, F.col("_id").eqNullSafe(F.col("rep")) & (F.col("_key") == F.col("key"))).select("cls", "to1", "to2", "to3", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, keys = None, None
         for batch in batches:
             parts: list[list] = []
             size = 0
-            for cls, h1, h2, *to, text in zip(*(batch.column(i).to_pylist() for i in range(6)), batch.column(6)):
+            for cls, *to, text in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
                 if cls != last:
-                    s = shingle_set(text.as_py())
-                    digest = xxhash.xxh3_128_intdigest(s.tobytes())
-                    if ((digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63)) != (h1, h2):
-                        continue  # another text under the same doc_id
-                    last, keys = cls, ordered(s, frequent.value)
+                    last, keys = cls, ordered(shingle_set(text.as_py()), frequent.value)
                 parts.append(emit(keys, (cls, *to)))
                 size += len(keys)
                 if size >= CHUNK // 4:
@@ -276,7 +297,7 @@ def sketched(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return written(both.mapInArrow(run, "x long, y long"), "pairs")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, frequent, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, frequent, percent: int) -> DataFrame:
     """Written links (a, b): the pairs (x, y) of classes whose sets are similar enough.
 
     Each pair's sets go to (x, salt), x first and then the ys in the order of their sets.
@@ -284,13 +305,13 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, frequent, perce
     salted = pairs.select("x", "y", F.pmod(F.xxhash64("y"), F.lit(SALTS)).cast("long").alias("salt"))
     own = salted.select("x", "salt").distinct().select(F.col("x").alias("cls"), F.col("x").alias("to1"), F.col("salt").alias("to2"), F.lit(0).cast("long").alias("to3"))
     other = salted.select(F.col("y").alias("cls"), F.col("x").alias("to1"), F.col("salt").alias("to2"), F.lit(1).cast("long").alias("to3"))
-    wanted = reps.join(own.union(other), "cls").select("cls", "rep", "h1", "h2", "to1", "to2", "to3")
+    wanted = reps.join(own.union(other), "cls").select("cls", "rep", "key", "to1", "to2", "to3")
 
     def sent(keys: np.ndarray, row: tuple) -> list:
         cls, x, salt, kind = row
         return [[x], [salt], [kind], [cls], [to_bytes(keys)]]
 
-    dealt = _rep_sets(docs, wanted, frequent, sent, "x long, salt long, kind long, y long, keys binary").repartition("x", "salt").sortWithinPartitions("x", "salt", "kind", "keys")
+    dealt = _rep_sets(texts, wanted, frequent, sent, "x long, salt long, kind long, y long, keys binary").repartition("x", "salt").sortWithinPartitions("x", "salt", "kind", "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(0, np.uint64)
@@ -347,14 +368,16 @@ def block_pairs(members: DataFrame, percent: int, block: int) -> DataFrame:
 
 
 def similar_classes(docs: DataFrame, percent: int = PERCENT, cap: int = CAP, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """signatures, classes (cls, rep, n, h1, h2) and (node, comp) of the linked classes."""
+    """signatures, classes (cls, rep, key, n, h1, h2) and (node, comp) of the linked classes."""
     spark = docs.sparkSession
     rows = signatures(docs)
     signed = rows.where("not frequent and n > 0")
-    classes = signed.groupBy("n", "h1", "h2", "sketch").agg(F.min("doc_id").alias("rep"))
+    texts = distinct_texts(docs, signed)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("rep"), "key")).alias("first")
+    classes = signed.groupBy("n", "h1", "h2", "sketch").agg(first).select("n", "h1", "h2", "sketch", "first.rep", "first.key")
     classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
 
-    reps = classes.select("cls", "rep", "h1", "h2")
+    reps = classes.select("cls", "rep", "key")
     once = reps.select("*", *[F.lit(None).cast("long").alias(f"to{i}") for i in (1, 2, 3)])
     counts = rows.where("frequent").groupBy("h1").agg(F.sum("n").alias("c")).where(F.col("c") >= FREQUENT)
     top = counts.orderBy(F.desc("c"), "h1").limit(MAX_FREQUENT).toArrow()  # bounded by MAX_FREQUENT
@@ -369,7 +392,7 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, cap: int = CAP, blo
         salt = np.where(token & TOP > 0, 1 + (cls * 2654435761 >> 7) % SALTS, 0).astype(np.int32)
         return [token.view(np.int64), salt, np.full(k, cls, np.int64), np.full(k, len(keys), np.int64), np.arange(k, dtype=np.int32)]
 
-    found = candidates(_rep_sets(docs, once, frequent, posting, POSTING), percent, cap)
+    found = candidates(_rep_sets(texts, once, frequent, posting, POSTING), percent, cap)
     members = found.where("y is null").select("token", "x", "n", "pos")
     centres = members.groupBy("token").agg(F.min_by("x", "x").alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
     stars = members.join(centres, "token").where("x <> c").select(F.col("c").alias("x"), F.col("x").alias("y"))
@@ -387,12 +410,12 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, cap: int = CAP, blo
         left = written(apart(some), "pairs")
         if left.isEmpty():
             return comps
-        links = verified(left, docs, reps, frequent, percent)
+        links = verified(left, texts, reps, frequent, percent)
         return connected(comps.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")).union(links))
 
     # one pair for each class joins most groups; then only pairs across components remain to be compared
     near = pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y")
-    comps = connected(verified(near, docs, reps, frequent, percent))
+    comps = connected(verified(near, texts, reps, frequent, percent))
     comps = further(pairs.join(near, ["x", "y"], "left_anti"))
 
     placed = members.join(comps.withColumnRenamed("node", "x"), "x", "left").withColumn("comp", F.coalesce("comp", "x"))
@@ -404,14 +427,22 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, cap: int = CAP, blo
     return rows, classes, comps
 
 
-def components(docs: DataFrame, percent: int = PERCENT, cap: int = CAP, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
+def named(docs: DataFrame, percent: int = PERCENT, cap: int = CAP, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, n) of every document, and those with words with ``first``, the (rep, key) that names the component."""
     rows, classes, comps = similar_classes(docs, percent, cap, block)
-    nodes = classes.join(comps, classes["cls"] == comps["node"], "left").select("n", "h1", "h2", "rep", F.coalesce("comp", "cls").alias("comp"))
-    least = nodes.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = nodes.join(least, "comp").select("n", "h1", "h2", "component_id")
+    first = F.struct(F.col("rep").isNull().alias("none"), "rep", "key").alias("first")
+    nodes = classes.join(comps, classes["cls"] == comps["node"], "left").select("n", "h1", "h2", first, F.coalesce("comp", "cls").alias("comp"))
+    least = nodes.groupBy("comp").agg(F.min("first").alias("first"))
+    firsts = nodes.drop("first").join(least, "comp").select("n", "h1", "h2", "first")
     own = rows.where("not frequent")
-    linked = own.where("n > 0").join(named, ["n", "h1", "h2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    linked = own.where("n > 0").join(firsts, ["n", "h1", "h2"]).select("doc_id", "key", "n", "first")
+    return own.select("doc_id", "key", "n"), linked
+
+
+def components(docs: DataFrame, percent: int = PERCENT, cap: int = CAP, block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document."""
+    own, linked = named(docs, percent, cap, block)
+    linked = linked.select("doc_id", F.col("n").alias("n_shingles"), F.col("first.rep").alias("component_id"))
     return linked.union(own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
@@ -420,11 +451,17 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that name their component; rows that repeat a doc_id count as one document."""
-    gone = checked(components(docs).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_tessera_id")).distinct())
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_tessera_id")), "left_anti")
-    again = written(docs.groupBy(F.col("doc_id").alias("_tessera_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_tessera_id"), "repeated-ids")
-    if again.isEmpty():
-        return kept
-    same = F.col("doc_id").eqNullSafe(F.col("_tessera_id"))
-    return kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+    """One row of each component, that of the least doc_id, then text digest.
+
+    Rows that repeat a doc_id and text count as one document. Texts without words are linked with nothing:
+    those with a null doc_id all stay.
+    """
+    own, linked = named(docs)
+    other = ~(F.col("doc_id").eqNullSafe(F.col("first.rep")) & (F.col("key") == F.col("first.key")))
+    gone = checked(linked.where(other).select(F.col("doc_id").alias("_tessera_id"), F.col("key").alias("_tessera_key")).distinct())
+    same = _same("doc_id", "_tessera_k")
+    kept = docs.withColumn("_tessera_k", text_key()).join(gone, same, "left_anti")
+    again = repeated(own.where("n > 0 or doc_id is not null"))
+    if not again.isEmpty():
+        kept = kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "_tessera_k"]))
+    return kept.drop("_tessera_k")

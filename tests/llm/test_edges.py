@@ -309,6 +309,20 @@ def test_jaccard_against_brute_force(spark, cap, block, frequent, monkeypatch):
     assert got == {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, comp))}
 
 
+def test_stages_tell_documents_apart_by_text(spark):
+    texts = [" ".join(f"t{i}x{k}" for k in range(40)) for i in range(6)]
+    near = texts[0].replace("t0x39", "edit")
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, ""), (None, ""), (1, near), (2, texts[2]), (2, texts[3]), (2, texts[3]), (3, texts[3]), (4, None), (4, ""), (None, texts[4]), (2, texts[5])]
+    docs = docs_of(spark, rows)
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect())
+    assert got == sorted([("None", texts[1]), ("None", ""), ("None", ""), ("1", near), ("2", texts[2]), ("2", texts[3]), ("4", ""), ("None", texts[4]), ("2", texts[5])])
+    items = spark.createDataFrame([(1, texts[1]), (2, texts[2])], "item_id long, text string")
+    left = sorted((str(r["doc_id"]), r["text"] or "") for r in decontaminate.clean(docs, items).collect())
+    assert left == sorted((str(i), t or "") for i, t in rows if t not in texts[1:3])
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "bot", None), (3, 0, "user", "a"), (3, 1, "bot", ""), (4, 0, "user", "a"), (4, 1, "bot", ""), (5, 0, None, "x"), (None, 0, "user", "n"), (6, 3, "user", "a"), (6, 3, "user", "a")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, n_turns string")
