@@ -6,7 +6,9 @@ identifier-like tokens (those with a digit or ``@``) form a bipartite graph of d
 (pattern, instance) edges. In each round a pattern's confidence in a kind is the mean score of its
 instances, an instance's score is that of its most confident pattern (1 for seeds). Patterns with at
 least ``min_seeds`` distinct seeds and ``min_confidence`` vouch; instances that they vouch for, and
-whose form suits the kind, are found wherever they follow such a pattern.
+whose form suits the kind, are found wherever they follow such a pattern. So are digit groups written
+with spaces (for card and phone, the most whole groups that suit) and tokens like ``a[at]b[dot]c``;
+these have no part in the confidences.
 
 Positions come from ``regexp_extract_all`` beside ``split`` by the same expression: a match starts
 after the pieces and matches before it. The expressions are forms of the stated ones that find the
@@ -39,6 +41,10 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": "+"}
 #: Tokens that may be identifiers.
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: Digit groups joined by single separators, and tokens without a digit or @ that spell out an address.
+GROUPS = r"(?<!\S)[+(]?[0-9]++(?:\)?[\x20./-]\(?[0-9]++)++"
+SPELT = r"[\[({<](?i:at|dot)[\])}>]"
+VEILED = rf"(?<!\S)[^\s0-9@]*?{SPELT}[^\s0-9@]*+(?!\S)"
 CONTEXT_CHARS = 80
 ROUNDS = 3
 MIN_SEEDS = 5
@@ -107,7 +113,7 @@ def _left(text, at):
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One pass over the texts, written: row, doc_id, key, the base spans by kind, and other tokens with their left words."""
+    """One pass over the texts, written: row, doc_id, key, the base spans by kind, other tokens with their left words, and ``loose`` ones that no confidence counts."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.md5(text).alias("key"))
     rows = rows.select("*", *[base_spans(F.col("text"), k).alias(k) for k in KINDS])
@@ -116,10 +122,18 @@ def scan(docs: DataFrame) -> DataFrame:
     seeds = F.concat(*[F.transform(k, mention(F.lit(k))) for k in KINDS])
     free = F.filter(spans_of(F.col("text"), TOKEN), lambda x: ~F.exists(F.col("_all"), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     others = F.transform(free, mention(F.lit(None).cast("string")))
+    # digit groups end where a base span begins
+    starts = lambda x: F.transform(F.filter(F.col("_all"), lambda b: b["s"] > x["s"]), lambda b: b["s"])
+    end = lambda x: F.least(x["e"], F.array_min(starts(x)))
+    ends = F.transform(spans_of(F.col("text"), GROUPS), lambda x: F.struct(x["s"].alias("s"), end(x).alias("e"), F.substr(F.col("text"), x["s"] + 1, end(x) - x["s"]).alias("t")))
+    groups = F.when(F.col("text").rlike(r"[0-9]\)?\x20\(?[0-9]"), F.filter(ends, lambda x: F.contains(x["t"], F.lit(" ")))).otherwise(F.array().cast(SPANS))
+    veiled = F.when(F.col("text").rlike(SPELT), spans_of(F.col("text"), VEILED)).otherwise(F.array().cast(SPANS))
+    outside = F.filter(F.concat(groups, veiled), lambda x: ~F.exists(F.col("_all"), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    loose = F.transform(outside, mention(F.lit(None).cast("string")))
     rows = rows.withColumn("_all", every)
     mentions = F.when(F.col("text").rlike("[0-9@]"), F.concat(seeds, others))
     bare = [F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias(k) for k in KINDS]
-    return written(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "key", *bare, mentions.alias("mentions")), "pii-scan")
+    return written(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "key", *bare, mentions.alias("mentions"), loose.alias("loose")), "pii-scan")
 
 
 def _suits(kind, token):
@@ -152,7 +166,12 @@ def discovered(scanned: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SE
     trusted = graph.join(scores, ["inst", "kind"]).groupBy("left", "kind").agg(F.avg("score").alias("trust")).where(F.col("trust") >= min_confidence)
     kind = trusted.groupBy("left").agg(F.max_by("kind", F.struct("trust", "kind")).alias("_kind"))
     fresh = mentions.where("kind is null").join(kind, "left").where(_suits(F.col("_kind"), F.col("t")))
-    return fresh.select("row", F.col("_kind").alias("kind"), "s", "e")
+    loose = scanned.select("row", F.explode("loose").alias("m")).select("row", "m.*").where("left is not null").join(kind, "left")
+    whole = lambda least, most: F.regexp_extract("t", rf"^[+(]?(?:[0-9][^0-9]{{0,3}}){{{least - 1},{most - 1}}}[0-9](?![0-9])", 0)
+    part = F.when(F.col("_kind") == "phone", whole(7, 15)).when(F.col("_kind") == "card", whole(12, 19)).when((F.col("_kind") == "email") & _suits(F.col("_kind"), F.col("t")), F.col("t"))
+    loose = loose.withColumn("e", F.col("s") + F.length(part)).where(F.length(part) > 0)
+    both = fresh.select("row", F.col("_kind").alias("kind"), "s", "e").union(loose.select("row", F.col("_kind").alias("kind"), "s", "e"))
+    return both.groupBy("row", "kind", "s").agg(F.max("e").alias("e")).select("row", "kind", "s", "e")
 
 
 def _joined(spans):
@@ -164,7 +183,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: row, doc_id, key, the base spans by kind, and ``more``, the discovered (kind, s, e)."""
     scanned = scan(docs)
     more = discovered(scanned).groupBy("row").agg(F.collect_set(F.struct("kind", "s", "e")).alias("more"))
-    return scanned.drop("mentions").join(more, "row", "left")
+    return scanned.drop("mentions", "loose").join(more, "row", "left")
 
 
 def _kinded(kind: str):

@@ -266,6 +266,25 @@ def test_pii_bootstraps_from_contexts(spark, nasty):
     assert pii.redact(empty(nasty)).count() == 0
 
 
+def test_pii_finds_spaced_and_spelt_identifiers(spark):
+    rows = [(i, f"so {w} please dial now +1 555 01{i:02d} 999 ok") for i, w in enumerate(WORDS[:8])]
+    rows += [(i, f"so {w} write to x{w}@b.org ok") for i, w in enumerate(WORDS[:8], 100)]
+    cards = [f"41111111111111{i:02d}" for i in range(100)]
+    luhn = [c for c in cards if sum(sum(divmod(int(d) * (2 if k % 2 else 1), 10)) for k, d in enumerate(reversed(c))) % 10 == 0]
+    rows += [(200 + i, f"the card number {c} ok") for i, c in enumerate(luhn[:8])]
+    want = {
+        300: ("please dial now 0171 5550199 thanks", "please dial now <PHONE> thanks"),
+        301: ("please dial now (0171) 5550199 10.0.0.1", "please dial now <PHONE> <IP>"),
+        302: ("please dial now 0171 5550199 1234567890", "please dial now <PHONE> 1234567890"),
+        303: ("the card number 4111 1111 1111 1112.", "the card number <CARD>."),
+        304: ("please write to john[at]example[dot]com today", "please write to <EMAIL> today"),
+        305: ("the build 0171 5550199 or john[at]example", "the build 0171 5550199 or john[at]example"),
+    }
+    rows += [(i, t) for i, (t, _) in want.items()]
+    done = {r["doc_id"]: r["text"] for r in pii.redact(docs_of(spark, rows)).collect()}
+    assert {i: done[i] for i in want} == {i: t for i, (_, t) in want.items()}
+
+
 def test_jaccard(spark, nasty):
     got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.components(nasty).collect())
     n = 396
