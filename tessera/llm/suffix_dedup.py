@@ -19,10 +19,14 @@ it is run where a repeat is possible, on aligned excerpts, which bounds the roun
 4. Covered bytes are the union of these strings.
 
 Texts that occur as several rows are fully repeated when they have ``length`` bytes; one of the rows
-stands for them in the collections. Collections of more than ``MAX_GROUP`` excerpts are counted string
-by string with an aggregate, which needs no group in one place. Tasks stream: sorted shuffle files are
+stands for them in the collections. Collections of more than ``MAX_GROUP`` excerpts are split by content
+down to single strings, known by a 128-bit digest and counted by an aggregate, so no task holds an
+unbounded collection. Tasks stream: sorted shuffle files are
 read in sequence, and a task holds ``BATCH`` excerpts or one collection.
 
+The symbols are bytes, or words by a 32-bit hash (``WORDS``): ``passages`` finds runs of more than 50
+words that also occur in another document.
+
 Edge cases: null and empty texts have no bytes; a string that overlaps its own copy counts; matches
 never cross rows; repeated rows are different documents; null doc_ids are rows like others; an empty
 table gives no rows; extra columns are ignored.
@@ -32,13 +36,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, written
+from tessera.llm.common import discard, table, written
 
 LENGTH = 400
 GRAM = 32
@@ -46,18 +52,43 @@ GRAM = 32
 BATCH, MAX_GROUP = 8_000, 50_000
 #: Bytes of a document that are hashed at a time.
 BLOCK = 1 << 19
+#: Parts of the rows of one string in the join that marks repeated strings.
+SALTS = 32
+
+
+@dataclass(frozen=True)
+class Symbols:
+    """What is compared: strings of ``length`` symbols of ``step`` bytes, by anchors of ``gram`` symbols.
+
+    With ``across``, only strings that different texts hold count as repeated.
+    """
+
+    step: int
+    length: int
+    gram: int
+    across: bool = False
+
+    def of(self, text: pa.StringScalar) -> np.ndarray:
+        """The symbols of a text as bytes."""
+        if self.step == 1:
+            return np.frombuffer(text.as_buffer(), np.uint8)
+        words = text.as_buffer().to_pybytes().split()
+        return np.array(list(map(xxhash.xxh3_64_intdigest, words)), np.uint64).astype("<u4").view(np.uint8)
+
+
+WORDS = Symbols(step=4, length=51, gram=8, across=True)
 
 EXCERPT = "anchor long, large boolean, cls string, pos int, left int, bytes binary"
 COVER = "cls string, s long, e long"
 
 
-def grams(data: np.ndarray, gram: int) -> np.ndarray:
-    """63-bit hashes of the k-grams of a byte array; ``gram`` is a multiple of 8."""
-    n = len(data) - gram + 1
+def grams(data: np.ndarray, gram: int, step: int = 1) -> np.ndarray:
+    """63-bit hashes of the k-grams of a symbol array; ``gram`` symbols are a multiple of 8 bytes."""
+    n = len(data) // step - gram + 1
     words = np.ndarray((len(data) - 7,), "<u8", data.tobytes(), 0, (1,))
     h = np.zeros(n, np.uint64)
-    for i in range(0, gram, 8):
-        h ^= words[i : i + n]
+    for i in range(0, gram * step, 8):
+        h ^= words[i : i + (n - 1) * step + 1 : step]
         h *= np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xC2B2AE3D27D4EB4F)
@@ -75,13 +106,13 @@ def sliding_minimum(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM, step: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, position, first, last) of a document's anchors; first and last start of the strings they stand for."""
     width = length - gram + 1  # k-grams in a string of `length` bytes
     found = [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)]
-    for at in range(0, max(0, len(data) - length + 1), BLOCK):
-        part = data[at : at + BLOCK + length - 1]
-        h = grams(part, gram)
+    for at in range(0, max(0, len(data) // step - length + 1), BLOCK):
+        part = data[at * step : (at + BLOCK + length - 1) * step]
+        h = grams(part, gram, step)
         mixed = (h >> np.uint64(20) << np.uint64(20)) | np.arange(len(h), dtype=np.uint64)  # of equal hashes the first
         least = sliding_minimum(mixed, width)
         first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
@@ -93,7 +124,7 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
 ANCHOR = "cls string, anchor long, pos int, first int, last int"
 
 
-def all_anchors(keyed: DataFrame, length: int, gram: int) -> DataFrame:
+def all_anchors(keyed: DataFrame, symbols: Symbols) -> DataFrame:
     """Written ANCHOR rows of all documents."""
     names = [x.split()[0] for x in ANCHOR.split(", ")]
 
@@ -106,7 +137,7 @@ def all_anchors(keyed: DataFrame, length: int, gram: int) -> DataFrame:
             classes: list[str] = []
             parts: list[tuple] = []
             for cls, text in zip(batch.column("cls").to_pylist(), batch.column("text")):
-                parts.append(anchors(np.frombuffer(text.as_buffer(), np.uint8), length, gram))
+                parts.append(anchors(symbols.of(text), symbols.length, symbols.gram, symbols.step))
                 classes += [cls] * len(parts[-1][0])
                 if len(classes) > 100_000:
                     yield flush(classes, parts)
@@ -117,7 +148,7 @@ def all_anchors(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     return written(keyed.select("cls", "text").mapInArrow(run, ANCHOR), "anchors")
 
 
-def excerpts(reps: DataFrame, length: int, max_group: int) -> DataFrame:
+def excerpts(reps: DataFrame, symbols: Symbols, max_group: int) -> DataFrame:
     """EXCERPT rows of (cls, text, at: array of (anchor, pos, first, last, n))."""
     names = [x.split()[0] for x in EXCERPT.split(", ")]
     kinds = [pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
@@ -126,9 +157,10 @@ def excerpts(reps: DataFrame, length: int, max_group: int) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for cls, text, at in zip(batch.column("cls").to_pylist(), batch.column("text"), batch.column("at").to_pylist()):
-                data = text.as_buffer()
+                data = symbols.of(text)
                 for x in at:
-                    out.append((x["anchor"], x["n"] > max_group, cls, x["pos"], x["pos"] - x["first"], data[x["first"] : x["last"] + length].to_pybytes()))
+                    part = data[x["first"] * symbols.step : (x["last"] + symbols.length) * symbols.step]
+                    out.append((x["anchor"], x["n"] > max_group, cls, x["pos"], x["pos"] - x["first"], part.tobytes()))
                     if len(out) >= 5000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
                         out = []
@@ -138,17 +170,23 @@ def excerpts(reps: DataFrame, length: int, max_group: int) -> DataFrame:
     return reps.mapInArrow(run, EXCERPT)
 
 
-def repeated_starts(group: np.ndarray, left: np.ndarray, data: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(excerpt, offset from its anchor) of all strings of ``length`` bytes that occur twice in a group.
+def repeated_starts(group: np.ndarray, left: np.ndarray, data: list[bytes], length: int = LENGTH, step: int = 1, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(excerpt, offset from its anchor) of all strings of ``length`` symbols that occur twice in a group.
 
-    ``data[i]`` has ``left[i]`` bytes before the anchor. Two places of a group count as different even if
-    their bytes belong to the same text.
+    ``data[i]`` has ``left[i]`` symbols before the anchor. Two places of a group count as different even if
+    their bytes belong to the same text, unless ``owner`` says whose they are.
     """
-    wide_left, wide_right = int(left.max()), max(len(x) - int(k) for x, k in zip(data, left))
-    columns = np.full((wide_left + wide_right, len(data)), -1, np.int16)  # -1: no symbol
-    for i, x in enumerate(data):
+    sizes = np.array([len(x) // step for x in data], np.int64)
+    wide_left, wide_right = int(left.max()), int((sizes - left).max())
+    flat = np.frombuffer(b"".join(data), np.uint8)
+    if step > 1:
+        flat = np.unique(flat.view("<u4"), return_inverse=True)[1].astype(np.int32)
+    wide = max(9, int(flat.max()).bit_length() + 1)  # bits of a symbol
+    columns = np.full((wide_left + wide_right, len(data)), -1, np.int16 if step == 1 else np.int32)  # -1: no symbol
+    ends = np.cumsum(sizes)
+    for i, (end, size) in enumerate(zip(ends.tolist(), sizes.tolist())):
         a = wide_left - left[i]
-        columns[a : a + len(x), i] = np.frombuffer(x, np.uint8)
+        columns[a : a + size, i] = flat[end - size : end]
     found_at, found_of = [], []
     order = np.argsort(group, kind="stable")  # order of the suffixes that start at the current column
     prefix = np.zeros(len(order), np.int32)  # common with the one before, in the same group
@@ -156,12 +194,12 @@ def repeated_starts(group: np.ndarray, left: np.ndarray, data: list[bytes], leng
     bits = max(1, int(len(order)).bit_length())
     gid = np.unique(group, return_inverse=True)[1].astype(np.int64)
     for column in range(wide_left + wide_right - 1, -1, -1):
-        symbol = columns[column][order]
-        key = (((gid[order] << 9) | (symbol + 1)) << bits) | ranks[: len(order)]
+        symbol = columns[column][order].astype(np.int64)
+        key = (((gid[order] << wide) | (symbol + 1)) << bits) | ranks[: len(order)]
         key.sort()
         came = key & ((1 << bits) - 1)  # place in the former order
         value = key >> bits
-        same = np.r_[False, value[1:] == value[:-1]] & (value & 511 > 0)
+        same = np.r_[False, value[1:] == value[:-1]] & (value & ((1 << wide) - 1) > 0)
         new = np.zeros(len(order), np.int32)
         here = np.flatnonzero(same)
         if len(here):
@@ -178,6 +216,11 @@ def repeated_starts(group: np.ndarray, left: np.ndarray, data: list[bytes], leng
         if column <= wide_left:
             most = np.maximum(prefix, np.r_[prefix[1:], 0])
             hit = order[most >= length]
+            if len(hit) and owner is not None:
+                edges = np.flatnonzero(prefix < length)  # equal strings stand together from one to the next
+                whose = owner[order]
+                several = np.minimum.reduceat(whose, edges) != np.maximum.reduceat(whose, edges)
+                hit = order[np.repeat(several, np.diff(np.r_[edges, len(order)]))]
             if len(hit):
                 found_of.append(hit)
                 found_at.append(np.full(len(hit), column - wide_left))
@@ -199,7 +242,7 @@ def shrink(order: np.ndarray, prefix: np.ndarray, alive: np.ndarray) -> tuple[np
     return order[kept], np.minimum.reduceat(prefix[: kept[-1] + 1], np.r_[0, kept[:-1] + 1]).astype(np.int32)
 
 
-def repeated(rows: DataFrame, length: int, batch_size: int) -> DataFrame:
+def repeated(rows: DataFrame, symbols: Symbols, batch_size: int) -> DataFrame:
     """COVER rows: runs of repeated strings in collections that lie together in sorted partitions."""
 
     def work(anchor: np.ndarray, cls: list[str], pos: np.ndarray, left: np.ndarray, data: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -207,14 +250,15 @@ def repeated(rows: DataFrame, length: int, batch_size: int) -> DataFrame:
         several = np.repeat(np.diff(edges) > 1, np.diff(edges))
         own = np.flatnonzero(several)
         if len(own):
-            of, at = repeated_starts(anchor[own], left[own], [data[i] for i in own], length)
+            whose = np.unique([cls[i] for i in own], return_inverse=True)[1] if symbols.across else None
+            of, at = repeated_starts(anchor[own], left[own], [data[i] for i in own], symbols.length, symbols.step, whose)
             by = np.lexsort((at, of))
             of, at = own[of[by]], at[by]
             if len(of):  # neighbouring starts of an excerpt make one run
                 new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1)])
                 last = np.r_[new[1:], len(of)] - 1
                 first = pos[of[new]]
-                yield pa.RecordBatch.from_arrays([pa.array([cls[i] for i in of[new].tolist()], pa.string()), pa.array(first + at[new]), pa.array(first + at[last] + length)], names=["cls", "s", "e"])
+                yield pa.RecordBatch.from_arrays([pa.array([cls[i] for i in of[new].tolist()], pa.string()), pa.array(first + at[new]), pa.array(first + at[last] + symbols.length)], names=["cls", "s", "e"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -243,20 +287,27 @@ def repeated(rows: DataFrame, length: int, batch_size: int) -> DataFrame:
     return rows.mapInArrow(run, COVER)
 
 
-def counted(rows: DataFrame, length: int) -> DataFrame:
-    """The same for collections too large for a task: every string's hash is counted by an aggregate."""
+def counted(rows: DataFrame, symbols: Symbols) -> DataFrame:
+    """The same for collections too large for a task: every string is a collection of its own, known by a 128-bit digest.
+
+    The rows of one string are spread over ``SALTS`` parts when they are marked.
+    """
+    step, length = symbols.step, symbols.length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.to_pylist():
-                n = len(x["bytes"]) - length + 1
-                keys = [hashlib.blake2b(x["bytes"][i : i + length], digest_size=16).digest() for i in range(n)]
+                n = len(x["bytes"]) // step - length + 1
+                keys = [hashlib.blake2b(x["bytes"][i * step : (i + length) * step], digest_size=16).digest() for i in range(n)]
                 first = x["pos"] - x["left"]
                 yield pa.RecordBatch.from_arrays([pa.array([x["cls"]] * n, pa.string()), pa.array(range(first, first + n), pa.int32()), pa.array(keys, pa.binary())], names=["cls", "start", "h"])
 
     strings = rows.mapInArrow(run, "cls string, start int, h binary")
-    twice = strings.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    return strings.join(twice, "h", "left_semi").select("cls", F.col("start").cast("long").alias("s"), (F.col("start") + length).cast("long").alias("e"))
+    whose = F.xxhash64("cls")
+    seen = strings.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(whose).alias("lo"), F.max(whose).alias("hi"))
+    twice = seen.where("lo <> hi" if symbols.across else "n > 1").select("h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = strings.withColumn("salt", F.pmod(F.xxhash64("cls", "start"), F.lit(SALTS)).cast("int"))
+    return salted.join(twice, ["h", "salt"], "left_semi").select("cls", F.col("start").cast("long").alias("s"), (F.col("start") + length).cast("long").alias("e"))
 
 
 def merge(runs: list[dict]) -> list[dict]:
@@ -270,26 +321,30 @@ def merge(runs: list[dict]) -> list[dict]:
     return out
 
 
-def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_size: int = BATCH, max_group: int = MAX_GROUP) -> DataFrame:
-    """Per class of equal texts: cls, copies, n_bytes, and runs, the array of (start, end) to remove."""
+def _texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text, cls) and, written, the classes of equal texts: cls, rep, copies, n_bytes."""
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.md5(text).alias("cls"))
     classes = keyed.groupBy("cls").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep"), F.max(F.octet_length("text")).cast("long").alias("n_bytes"))
-    classes = written(classes, "text-classes")
+    return keyed, written(classes, "text-classes")
+
 
-    found = all_anchors(keyed.where(F.octet_length("text") >= length), length, gram)
+def repeated_runs(keyed: DataFrame, classes: DataFrame, symbols: Symbols, batch_size: int = BATCH, max_group: int = MAX_GROUP) -> DataFrame:
+    """Written (cls, runs): the maximal runs (s, e) of symbols in repeated strings, of the classes that have any."""
+    found = all_anchors(keyed.where(F.octet_length("text") >= symbols.length), symbols)
     once = found.groupBy("cls", "anchor", "pos").agg(F.lit(1).alias("one"))
-    twice = written(once.groupBy("anchor").agg(F.count("one").alias("n")).where("n > 1"), "repeated-anchors")
+    shared = once.groupBy("anchor").agg(F.count("one").alias("n"), F.min(F.xxhash64("cls")).alias("lo"), F.max(F.xxhash64("cls")).alias("hi"))
+    twice = written(shared.where("lo <> hi" if symbols.across else "n > 1").select("anchor", "n"), "repeated-anchors")
     places = found.join(twice, "anchor").groupBy("cls").agg(F.collect_set(F.struct("anchor", "pos", "first", "last", "n")).alias("at"))
     wanted = places.join(classes.select("cls", "rep"), "cls")
     k, w = keyed.alias("k"), wanted.alias("w")
     same = (F.col("k.cls") == F.col("w.cls")) & F.col("k.doc_id").eqNullSafe(F.col("w.rep"))
     reps = k.join(w, same).select("k.cls", "k.text", "w.at")
-    cut = excerpts(reps, length, max_group)
+    cut = excerpts(reps, symbols, max_group)
     dealt = cut.where("not large").repartition("anchor").sortWithinPartitions("anchor")
-    starts = repeated(dealt, length, batch_size)
+    starts = repeated(dealt, symbols, batch_size)
     if not twice.where(F.col("n") > max_group).isEmpty():
-        starts = starts.union(counted(cut.where("large"), length))
+        starts = starts.union(counted(cut.where("large"), symbols))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
@@ -298,14 +353,37 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_size
             yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(out, kind)], names=["cls", "runs"])
 
     starts = written(starts, "covered")
+    discard(found, twice)
     per_class = starts.groupBy("cls").agg(F.collect_set(F.struct("s", "e")).alias("some")).mapInArrow(runs, "cls string, runs array<struct<s:long,e:long>>")
     per_class = written(per_class, "runs")
+    discard(starts)
+    return per_class
+
+
+def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_size: int = BATCH, max_group: int = MAX_GROUP) -> DataFrame:
+    """Per class of equal texts: cls, copies, n_bytes, and runs, the array of (start, end) to remove."""
+    keyed, classes = _texts(docs)
+    per_class = repeated_runs(keyed, classes, Symbols(1, length, gram), batch_size, max_group)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("n_bytes").alias("e")))
     none = F.array().cast("array<struct<s:bigint,e:bigint>>")
     runs_of = F.when((F.col("copies") > 1) & (F.col("n_bytes") >= length), whole).otherwise(F.coalesce("runs", none))
     return classes.join(per_class, "cls", "left").select("cls", "rep", "copies", "n_bytes", runs_of.alias("runs"))
 
 
+def passages(docs: DataFrame, symbols: Symbols = WORDS, batch_size: int = BATCH, max_group: int = MAX_GROUP) -> DataFrame:
+    """Per class of equal texts that holds any: cls, and n_passage_words, the words in passages of ``symbols.length`` or more words that another document holds too.
+
+    Words are what stands between white space. All words of a text of that length with an exact copy count.
+    """
+    keyed, classes = _texts(docs)
+    per_class = repeated_runs(keyed, classes, symbols, batch_size, max_group)
+    copied = keyed.join(classes.where("copies > 1").select("cls", "rep"), "cls").where(F.col("doc_id").eqNullSafe(F.col("rep")))
+    n_words = F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    whole = copied.select("cls", n_words.cast("long").alias("n")).where(F.col("n") >= symbols.length)
+    parts = per_class.select("cls", F.aggregate("runs", F.lit(0).cast("long"), lambda acc, r: acc + r["e"] - r["s"]).alias("n"))
+    return whole.union(parts).groupBy("cls").agg(F.max("n").alias("n_passage_words"))
+
+
 def kept_bytes(text, runs):
     """The bytes of a text outside of runs, as a binary column."""
     data = F.encode(text, "UTF-8")
@@ -317,6 +395,7 @@ def kept_bytes(text, runs):
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = written(removals(docs), "removals")
+    shared = written(passages(docs), "passages")
     text = F.coalesce(F.col("text"), F.lit(""))
     own = docs.select("doc_id", text.alias("text"), F.md5(text).alias("key"))
     n = F.aggregate("runs", F.lit(0).cast("long"), lambda acc, r: acc + r["e"] - r["s"])
@@ -324,7 +403,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     partly = found.where((F.size("runs") > 0) & (n < F.col("n_bytes"))).select("cls", "rep", "runs")
     cut = own.join(partly, (F.col("key") == F.col("cls")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", F.sha2(kept_bytes(F.col("text"), F.col("runs")), 256).alias("sha")).dropDuplicates(["cls"])
     named = found.select("cls", n.alias("n_removed"), F.size("runs").cast("long").alias("n_spans")).join(cut, "cls", "left")
+    named = named.join(shared, "cls", "left")
     rows = own.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text"), 256).alias("whole"))
-    return rows.join(named, F.col("key") == F.col("cls")).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.when(F.col("n_removed") == 0, F.col("whole")).otherwise(F.coalesce("sha", F.sha2(F.lit(""), 256))).alias("kept_sha256")
-    )
+    kept = F.when(F.col("n_removed") == 0, F.col("whole")).otherwise(F.coalesce("sha", F.sha2(F.lit(""), 256)))
+    return rows.join(named, F.col("key") == F.col("cls")).select("doc_id", "n_bytes", "n_removed", "n_spans", kept.alias("kept_sha256"), F.coalesce("n_passage_words", F.lit(0)).cast("long").alias("n_passage_words"))
