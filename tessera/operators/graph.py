@@ -56,21 +56,72 @@ def _labelled(edges: DataFrame, vertices: DataFrame, label: int | None) -> DataF
     return e if label is None else e.join(vertices.where(F.col("label") == label).select(F.col("id").alias("w")), "w").select("v", "w")
 
 
-def intersect_set(pairs: DataFrame, edges: DataFrame, vertices: DataFrame, label: int | None = None) -> DataFrame:
-    """(v, u, w): w in N(v) and N(u)."""
-    n = _labelled(edges, vertices, label)
-    return pairs.join(n, "v").join(n.select(F.col("v").alias("u"), "w"), ["u", "w"]).select("v", "u", "w")
+#: Neighbours in one array; longer lists are cut by a hash of the neighbour.
+MAX_LIST = 1 << 16
 
 
-def difference_set(pairs: DataFrame, edges: DataFrame, vertices: DataFrame, label: int | None = None) -> DataFrame:
-    """(v, u, w): w in N(v), not in N(u), not u itself."""
-    n = _labelled(edges, vertices, label)
-    return pairs.join(n, "v").where("w <> u").join(n.select(F.col("v").alias("u"), "w"), ["u", "w"], "left_anti").select("v", "u", "w")
+def neighbour_lists(edges: DataFrame, vertices: DataFrame, label: int | None = None) -> tuple[DataFrame, int]:
+    """(v, part, ws), the neighbours with the label as arrays, and the number of parts of every list."""
+    e = _labelled(edges, vertices, label)
+    longest = e.groupBy("v").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = -(-longest // MAX_LIST) or 1
+    return e.groupBy("v", F.pmod(F.xxhash64("w"), F.lit(parts)).cast("int").alias("part")).agg(F.collect_list("w").alias("ws")), parts
 
 
-def difference_edge_induced(pairs: DataFrame, edges: DataFrame, vertices: DataFrame, label: int | None = None) -> DataFrame:
-    """(v, u, w): w in N(v), not u itself; N(u) is not subtracted."""
-    return pairs.join(_labelled(edges, vertices, label), "v").where("w <> u").select("v", "u", "w")
+def _sets_of(pairs: DataFrame, lists: DataFrame, parts: int) -> DataFrame:
+    """(v, u, part, ws): N(v) of every pair."""
+    return pairs.select("v", "u", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).join(lists, ["v", "part"])
+
+
+def vertex_set(pairs: DataFrame, members: DataFrame, vertices: DataFrame, label: int | None, parts: int) -> DataFrame:
+    """(v, u, part, ws) of given sets members(v, u, w): those with the label, cut as the neighbour lists are."""
+    m = members.select("v", "u", "w")
+    if label is not None:
+        m = m.join(vertices.where(F.col("label") == label).select(F.col("id").alias("w")), "w")
+    m = m.groupBy("v", "u", F.pmod(F.xxhash64("w"), F.lit(parts)).cast("int").alias("part")).agg(F.collect_set("w").alias("ws"))
+    return m.join(pairs, ["v", "u"], "left_semi")
+
+
+def _against(sets: DataFrame, lists: DataFrame, operation) -> DataFrame:
+    """(v, u, w) of operation(ws, N(u)) less u itself where asked."""
+    other = lists.select(F.col("v").alias("u"), "part", F.col("ws").alias("ns"))
+    return sets.join(other, ["u", "part"], "left").select("v", "u", F.explode(operation(F.col("ws"), F.col("ns"))).alias("w"))
+
+
+def _meet(a, b):
+    return F.when(b.isNotNull(), F.array_intersect(a, b))
+
+
+def _without(a, b):
+    return F.when(b.isNull(), F.filter(a, lambda w: w != F.col("u"))).otherwise(F.filter(F.array_except(a, b), lambda w: w != F.col("u")))
+
+
+def _start(pairs, edges, vertices, label, members):
+    lists, parts = neighbour_lists(edges, vertices, label)
+    return (_sets_of(pairs, lists, parts) if members is None else vertex_set(pairs, members, vertices, label, parts)), lists
+
+
+def intersect_set(pairs: DataFrame, edges: DataFrame, vertices: DataFrame, label: int | None = None, members: DataFrame | None = None) -> DataFrame:
+    """(v, u, w): w in N(v) and N(u), with the label if one is given.
+
+    With ``members``(v, u, w), a vertex set per pair stands for N(v): results chain into patterns.
+    """
+    return _against(*_start(pairs, edges, vertices, label, members), _meet)
+
+
+def difference_set(pairs: DataFrame, edges: DataFrame, vertices: DataFrame, label: int | None = None, members: DataFrame | None = None) -> DataFrame:
+    """(v, u, w): w in N(v) (or the pair's ``members``), not in N(u), not u itself."""
+    return _against(*_start(pairs, edges, vertices, label, members), _without)
+
+
+def difference_edge_induced(pairs: DataFrame, edges: DataFrame, vertices: DataFrame, label: int | None = None, members: DataFrame | None = None) -> DataFrame:
+    """(v, u, w): w in N(v) (or the pair's ``members``), not u itself; N(u) is not subtracted."""
+    if members is None:
+        lists, parts = neighbour_lists(edges, vertices, label)
+        sets = _sets_of(pairs, lists, parts)
+    else:
+        sets = vertex_set(pairs, members, vertices, label, 1)
+    return sets.select("v", "u", F.explode("ws").alias("w")).where("w <> u")
 
 
 def set_sizes(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -79,6 +130,16 @@ def set_sizes(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs.join(counts, ["v", "u"], "left").select("v", "u", F.coalesce("c", F.lit(0)).cast("long").alias("cnt"))
 
 
+def valid(ids: DataFrame, column: str, size: int) -> DataFrame:
+    """``ids`` with whether the column lies in 0..size-1: the bounds test of vertices and of edge numbers."""
+    return ids.withColumn("valid", F.coalesce(F.col(column).between(0, size - 1), F.lit(False)))
+
+
+def numbered_edges(edges: DataFrame) -> DataFrame:
+    """(e, src, dst): edges by their number in (src, dst) order."""
+    return ranked(edges.select("src", "dst"), [], ["src", "dst"], "e").select("e", "src", "dst")
+
+
 def common_out_neighbours(dag: DataFrame) -> DataFrame:
     """(src, dst, cnt) of each oriented edge, by array intersection."""
     adj = adjacency(dag)
@@ -95,9 +156,15 @@ def triangle_count(edges: DataFrame) -> DataFrame:
 
 
 def triangle_rows(dag: DataFrame) -> DataFrame:
-    """(a, b, c) of every triangle, by joins: a -> b, b -> c, a -> c."""
-    ab, bc, ac = dag.toDF("a", "b"), dag.toDF("b", "c"), dag.toDF("a", "c")
-    return ab.join(bc, "b").join(ac, ["a", "c"]).select("a", "b", "c")
+    """(a, b, c) of every triangle a -> b, b -> c, a -> c.
+
+    The lists of both ends of an oriented edge meet, so nothing larger than the out-lists (at most about
+    sqrt(2 |E|) long) is enumerated; a vertex with many in-edges is a skewed side of one join, which Spark splits.
+    """
+    adj = adjacency(dag)
+    left = adj.select(F.col("src").alias("a"), F.explode("nbrs").alias("b"), F.col("nbrs").alias("x"))
+    both = left.join(adj.select(F.col("src").alias("b"), F.col("nbrs").alias("y")), "b")
+    return both.select("a", "b", F.explode(F.array_intersect("x", "y")).alias("c"))
 
 
 def triangle_types(edges: DataFrame, parts: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Graph sources and sinks: tables, raw CSR files, partitioned Parquet."""
+"""Graph and array sources and sinks: tables, raw CSR files, partitioned Parquet, text, random vectors."""
 
 from __future__ import annotations
 
@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.arrays import ranked
+from tessera.plans.storage import stored
 
 #: Fixed widths of the raw files: row pointers, column indices, vertex lists and part maps.
 ROWPTR, COLIDX, VERTEX_LIST = "<i8", "<i4", "<i8"
 PARTITION_META_FIELDS = ["nv", "n_real", "ne", "max_subg_nv", "max_subg_ne", "max_degree"]
+#: Vertices of the part map that goes to every writer of raw parts (8 bytes each).
+MAX_MAP = 1 << 24
 META_FIELDS = ["nv", "ne", "vid_size", "eid_size", "vlabel_size", "elabel_size", "max_degree", "feat_len", "nvclasses", "neclasses"]
 
 
@@ -25,17 +28,32 @@ class Graph:
     vertices: DataFrame
     edges: DataFrame
 
+    def fields(self) -> dict[str, bool]:
+        """Which optional data the graph has."""
+        vlabel, elabel = "label" in self.vertices.columns, "label" in self.edges.columns
+        return {"has_label": vlabel or elabel, "has_vlabel": vlabel, "has_elabel": elabel}
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
 def copurchase(spark: SparkSession, sf_dir: str) -> Graph:
-    """Parts are vertices, labelled by size; two parts of one order are joined."""
+    """Parts are vertices, labelled by size; two parts of one order are joined.
+
+    The edges are built once per application and input folder and kept as a table in the shared folder, as a
+    stored graph; later queries read that.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
     part = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("label"))
     lines = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
-    pairs = lines.alias("a").join(lines.alias("b"), F.col("a.o") == F.col("b.o")).where("a.p <> b.p")
-    return Graph(part, pairs.select(F.col("a.p").alias("src"), F.col("b.p").alias("dst")).distinct())
+    if key not in _STORED:
+        pairs = lines.alias("a").join(lines.alias("b"), F.col("a.o") == F.col("b.o")).where("a.p <> b.p")
+        _STORED[key] = stored(pairs.select(F.col("a.p").alias("src"), F.col("b.p").alias("dst")).distinct(), "graph")
+    return Graph(part, _STORED[key])
 
 
 def from_edges(spark: SparkSession, pairs: list[tuple[int, int]], n: int | None = None) -> Graph:
@@ -134,5 +152,78 @@ def write_partitioned(edges: DataFrame, parts: list[str], path: str) -> None:
     edges.repartition(*parts).write.partitionBy(*parts).parquet(path)
 
 
+def write_raw_partitions(edges: DataFrame, parts: DataFrame, nv: int, prefix: str) -> None:
+    """The raw files that ``read_partition`` reads, for every part of parts(id, part): ``<prefix><part>.*``.
+
+    A part owns the lists of its vertices; row pointers have nv + 1 entries and ids stay global. Each array
+    is written as ``.bin`` and as ``.txt``, the lists also as ``.csr.txt``. A task holds the row pointers and vertex list of the
+    part it writes; edges stream through it in order.
+    """
+    from pyarrow import fs as pafs
+
+    owned = parts.select(F.col("id").alias("src"), "part")
+    rows = owned.join(edges, "src", "left").select("part", "src", "dst")
+    found = rows.groupBy("part").agg(F.count_distinct("src").alias("nv"), F.count("dst").alias("ne"))
+    most = found.agg(F.max("nv").alias("nv"), F.max("ne").alias("ne")).first()
+    if nv > MAX_MAP:
+        raise ValueError(f"every raw part holds the whole part map, so there may be {MAX_MAP} vertices at most")
+    known, of = parts.select("id", "part").toArrow(), np.zeros(nv, VERTEX_LIST)
+    of[known.column("id").to_numpy()] = known.column("part").to_numpy()
+    owner = edges.sparkSession.sparkContext.broadcast(of)
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state: dict = {}
+
+        def close() -> int:
+            degrees, own, part = state["degrees"], np.array(state["own"], VERTEX_LIST), state["part"]
+            ptr = np.r_[0, np.cumsum(degrees)].astype(ROWPTR)
+            for name, values in (("vertex", ptr), ("vertex_list", own), ("part", owner.value)):
+                with fs.open_output_stream(f"{base}{part}.{name}.bin") as out:
+                    out.write(values.tobytes())
+                with fs.open_output_stream(f"{base}{part}.{name}.txt") as out:
+                    out.write("".join(f"{x}\n" for x in values.tolist()).encode())
+            for out in state["out"].values():
+                out.close()
+            meta = [nv, len(own), int(ptr[-1]), most["nv"], most["ne"], int(degrees.max(initial=0))]
+            with fs.open_output_stream(f"{base}{part}.meta.txt") as out:
+                out.write(("\n".join(map(str, meta)) + "\n").encode())
+            return part
+
+        fs, base = pafs.FileSystem.from_uri(prefix)
+        for frame in frames:
+            for part, rows_of in frame.groupby("part", sort=False):
+                if state.get("part") != part:
+                    if state:
+                        yield pd.DataFrame({"part": [close()]})
+                    state = {"part": int(part), "degrees": np.zeros(nv, np.int64), "own": [], "out": {x: fs.open_output_stream(f"{base}{part}.{x}") for x in ("edge.bin", "edge.txt", "csr.txt")}}
+                for src, of in rows_of.groupby("src", sort=False):
+                    dst = of["dst"].dropna().astype(np.int64).to_numpy()
+                    if not state["own"] or state["own"][-1] != src:
+                        state["own"].append(int(src))
+                    state["degrees"][src] += len(dst)
+                    state["out"]["edge.bin"].write(dst.astype(COLIDX).tobytes())
+                    state["out"]["edge.txt"].write("".join(f"{x}\n" for x in dst.tolist()).encode())
+                    state["out"]["csr.txt"].write((f"{src}: " + " ".join(map(str, dst.tolist())) + "\n").encode())
+        if state:
+            yield pd.DataFrame({"part": [close()]})
+
+    rows.repartition("part").sortWithinPartitions("part", "src", "dst").mapInPandas(write, "part long").count()
+
+
+def read_text(spark: SparkSession, path: str, length: int = 1_000_000, seed: int = 0) -> DataFrame:
+    """The lines of a text file; where there is none, one of ``length`` random characters 0..127 is written first.
+
+    Generated text is written by many tasks, a line of up to 1,000 characters a row; line ends count as characters.
+    """
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
+        char = lambda i: F.char(F.pmod(F.xxhash64("id", i, F.lit(seed)), F.lit(128)))
+        rows = spark.range(-(-length // 1000)).select("id", F.least(F.lit(999), length - F.col("id") * 1000 - 1).cast("int").alias("n"))
+        line = F.concat_ws("", F.transform(F.sequence(F.lit(1), F.col("n")), char))
+        # characters 10 and 13 would end a line
+        rows.select(F.when(F.col("n") > 0, F.translate(line, "\n\r", "  ")).otherwise("").alias("value")).write.text(path)
+    return spark.read.text(path)
+
+
 def random_vector(spark: SparkSession, n: int, low: float, high: float, seed: int = 0) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("i"), (F.rand(seed) * (high - low) + low).alias("x"))

@@ -49,8 +49,33 @@ def stop_flag(spark: SparkSession, n: int) -> DataFrame:
 
 
 def ring_copy(message: DataFrame, n: int) -> DataFrame:
-    """The message after n - 1 copies from element to element and back: unchanged, so no copy is made."""
-    return message
+    """``message`` with (hop, holder): copied from element 0 to n - 1, one hop each, and back to the host (-1)."""
+    hop = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long"))).alias("hop")
+    return message.select(hop, "*").select("hop", F.when(F.col("hop") < n, F.col("hop")).otherwise(-1).cast("long").alias("holder"), *message.columns)
+
+
+def _sequence(column, name: str):
+    """A row for each of 0..column-1."""
+    return F.explode(F.when(column > 0, F.sequence(F.lit(0).cast("long"), (column - 1).cast("long")))).alias(name)
+
+
+def mailbox_checksum(spark: SparkSession, dests: int, warps: int, rounds: int, own: int = 2) -> DataFrame:
+    """(checksum): what the receivers of a block's mailboxes add up.
+
+    In every round a warp sends ``degree`` values to each element but ``own``: degree + dest - i.
+    """
+    sent = spark.range(warps).withColumnRenamed("id", "warp").select("warp", _sequence(F.lit(rounds), "round"))
+    sent = sent.select(((F.col("warp") * 1379 + F.col("round")) % 512).alias("degree")).select("degree", _sequence(F.lit(dests), "dest")).where(F.col("dest") != own)
+    values = sent.select("degree", "dest", _sequence(F.col("degree"), "i"))
+    return values.agg(F.sum(F.col("degree") + F.col("dest") - F.col("i")).alias("checksum"))
+
+
+def mailbox_totals(spark: SparkSession, n: int, rounds: int = 8, slot: int = 16) -> DataFrame:
+    """(pe, sent, received): sums of the slots that elements fill for each other, degree - i in each round."""
+    sent = elements(spark, n).select(F.col("pe").alias("src"), _sequence(F.lit(n), "dest")).where("src <> dest").select("src", "dest", _sequence(F.lit(rounds), "round"))
+    sent = sent.withColumn("degree", ((F.col("round") + F.col("dest")) * 137) % slot).select("src", "dest", "degree", _sequence(F.col("degree"), "i"))
+    both = sent.select(F.col("src").alias("pe"), (F.col("degree") - F.col("i")).alias("s"), F.lit(0).alias("r")).union(sent.select("dest", F.lit(0), F.col("degree") - F.col("i")))
+    return both.groupBy("pe").agg(F.sum("s").alias("sent"), F.sum("r").alias("received"))
 
 
 def thread_counters(spark: SparkSession, n: int) -> DataFrame:

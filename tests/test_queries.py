@@ -52,5 +52,7 @@ def test_kcore_and_propagation(spark):
     want = peel(nbrs)
     assert {r["id"]: r["coreness"] for r in QUERIES["kcore"](spark, SF).collect()} == want
     assert QUERIES["core_length"](spark, SF).first()[0] == sum(c > 1 for c in want.values())
-    parts = QUERIES["label_propagation"](spark, SF).collect()
-    assert len(parts) == len(nbrs) and {r["cluster"] for r in parts} <= set(range(4))
+    sizes = sorted(r["count"] for r in QUERIES["balanced_partition"](spark, SF).groupBy("cluster").count().collect())
+    assert sum(sizes) == len(nbrs) and sizes[-1] - sizes[0] <= 1
+    cut = lambda name: QUERIES[name](spark, SF).first()["cut"]
+    assert cut("balanced_partition_stats") < cut("partition_stats")
