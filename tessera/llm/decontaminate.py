@@ -7,8 +7,9 @@
    that hold no more of them than the one before are left out, so the best window is among these.
 2. Distinct windows and items get a 64-bit SimHash of their shingles, weighted by multiplicity.
 3. Multi-index Hamming search: a fingerprint is four blocks of 16 bits. If two fingerprints differ in
-   at most 19 bits, some block differs in at most 4, and then some value within 2 flips of either
-   block is shared. Both sides list those values, and an equi-join finds all pairs within the radius.
+   at most 23 bits, some block differs in at most 5, and then some value within 2 flips of the window's
+   block lies within 3 flips of the item's. The sides list those values, and an equi-join finds all pairs
+   within the radius. A window is compared with the items of the size it was placed for.
 4. A pair counts when its exact weighted Jaccard similarity, sum of the smaller multiplicities over the
    sum of the larger ones, is at least ``threshold``.
 
@@ -17,7 +18,8 @@ all their words, so short items match only documents that consist of the same wo
 
 Edge cases: null or empty texts have no shingles and match nothing; ties for the best window go to the
 smallest start; repeated rows give one result row; rows with a null doc_id are searched and reported
-with a null doc_id; empty tables give no rows; extra columns are ignored.
+with a null doc_id; empty tables give no rows; extra columns are ignored. Items are told apart by their texts: one with a null
+item_id is reported with it, and different texts under one item_id are searched each.
 """
 
 from __future__ import annotations
@@ -32,9 +34,9 @@ from tessera.llm.common import checked, table, written
 SHINGLE = 5
 THRESHOLD = 0.8
 BLOCKS, BLOCK_BITS = 4, 16
-RADIUS = 19
-#: Values within two flips of a block.
-FLIPS = [sum(1 << b for b in bits) for k in range(3) for bits in combinations(range(BLOCK_BITS), k)]
+RADIUS = 23
+#: Flips of a block that a window and an item list: together the most that the best block of a pair within RADIUS differs in.
+WINDOW_FLIPS, ITEM_FLIPS = 2, 3
 #: Distinct item shingles up to which they are broadcast (16 bytes each); beyond, the join shuffles.
 MAX_BROADCAST_SHINGLES = 1 << 20
 
@@ -76,11 +78,12 @@ def simhashes(rows: DataFrame, key: str, shingles: str) -> DataFrame:
     return sums.select(key, fp.alias("fp"))
 
 
-def near_blocks(fps: DataFrame, key: str) -> DataFrame:
-    """(key, fp, block, value): for each block, all values within two flips."""
+def near_blocks(fps: DataFrame, flips: int) -> DataFrame:
+    """``fps`` with (block, value): for each block of fp, all values within so many flips."""
+    near = [sum(1 << b for b in bits) for k in range(flips + 1) for bits in combinations(range(BLOCK_BITS), k)]
     blocks = F.array(*[F.struct(F.lit(b).alias("block"), F.shiftright("fp", b * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int").alias("value")) for b in range(BLOCKS)])
-    rows = fps.select(key, "fp", F.explode(blocks).alias("_k")).withColumn("_f", F.explode(F.array(*map(F.lit, FLIPS))))
-    return rows.select(key, "fp", F.col("_k.block").alias("block"), F.col("_k.value").bitwiseXOR(F.col("_f")).alias("value"))
+    rows = fps.select("*", F.explode(blocks).alias("_k")).withColumn("_f", F.explode(F.array(*map(F.lit, near))))
+    return rows.select(*fps.columns, F.col("_k.block").alias("block"), F.col("_k.value").bitwiseXOR(F.col("_f")).alias("value"))
 
 
 def bags(rows: DataFrame, key: str, shingles: str) -> DataFrame:
@@ -88,7 +91,7 @@ def bags(rows: DataFrame, key: str, shingles: str) -> DataFrame:
 
 
 def dense_starts(hits: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, key, start, len): windows from an item shingle on that hold enough of them.
+    """(doc_id, key, size, start, len): windows from an item shingle on that hold enough of them.
 
     Two events a shingle position p, in order: p comes into reach of a window, then a window starts at p.
     Their running sum is the number of item shingles in the window. Tasks stream over a document's events.
@@ -103,12 +106,13 @@ def dense_starts(hits: DataFrame, threshold: float) -> DataFrame:
     words = F.least(F.col("size"), F.col("n") - F.col("pos"))
     needed = threshold / (1 + threshold) * (words + F.col("size") - 2 * (SHINGLE - 1)) - 1e-6
     whole = F.col("pos") + F.col("size") <= F.col("n")
-    return rows.where((F.col("held") >= needed) & ~(whole & (F.col("before") == 1))).select("doc_id", "key", F.col("pos").alias("start"), words.alias("len"))
+    return rows.where((F.col("held") >= needed) & ~(whole & (F.col("before") == 1))).select("doc_id", "key", "size", F.col("pos").alias("start"), words.alias("len"))
 
 
 def passages(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, key, item_id, start, len, similarity): the matching windows; key is the text's digest."""
-    own = items.select("item_id", sized_shingles(F.col("text")).alias("x")).select("item_id", F.col("x.n").alias("size"), "x.s").where("size > 0")
+    keyed_items = items.select("item_id", F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("ikey"), "text")
+    own = keyed_items.dropDuplicates(["ikey"]).select("ikey", sized_shingles(F.col("text")).alias("x")).select("ikey", F.col("x.n").alias("size"), "x.s").where("size > 0")
     own = written(own, "items")
     posted = own.select("size", F.posexplode("s").alias("j", "h")).distinct()
     n = posted.count()
@@ -120,27 +124,29 @@ def passages(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) ->
     hits = written(hits.select("doc_id", "key", "n", "p", "j", "size"), "hits")
     start = F.greatest(F.col("p") - F.col("j"), F.lit(0))
     end = F.least(F.col("p") - F.col("j") + F.col("size"), F.col("n"))
-    placed = hits.select("doc_id", "key", start.alias("start"), (end - start).alias("len")).union(dense_starts(hits, threshold)).distinct()
-    per_doc = placed.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "len")).alias("at"))
+    placed = hits.select("doc_id", "key", "size", start.alias("start"), (end - start).alias("len")).union(dense_starts(hits, threshold)).distinct()
+    per_doc = placed.groupBy("doc_id", "key").agg(F.collect_set(F.struct("size", "start", "len")).alias("at"))
 
     d, p = keyed.alias("d"), per_doc.alias("p")
     found = d.join(p, F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.key") == F.col("p.key"))).select("d.doc_id", "d.key", "d.text", "p.at")
-    cut = let(words_of(F.col("text")), lambda w: F.transform("at", lambda a: F.struct(a["start"].alias("start"), a["len"].alias("len"), F.slice(w, a["start"] + 1, a["len"]).alias("w"))))
+    cut = let(words_of(F.col("text")), lambda w: F.transform("at", lambda a: F.struct(a["size"].alias("size"), a["start"].alias("start"), a["len"].alias("len"), F.slice(w, a["start"] + 1, a["len"]).alias("w"))))
     spans = found.select("doc_id", "key", F.explode(cut).alias("a")).select("doc_id", "key", "a.*")
-    windows = written(spans.select("doc_id", "key", "start", "len", F.md5(F.array_join("w", " ")).alias("wkey"), shingles_of(F.col("w")).alias("s")).distinct(), "windows")
+    windows = written(spans.select("doc_id", "key", "size", "start", "len", F.md5(F.array_join("w", " ")).alias("wkey"), shingles_of(F.col("w")).alias("s")).distinct(), "windows")
     distinct = windows.select("wkey", "s").dropDuplicates(["wkey"])
 
-    a = near_blocks(written(simhashes(distinct, "wkey", "s"), "window-simhashes"), "wkey").withColumnRenamed("fp", "wfp")
-    b = near_blocks(written(simhashes(own, "item_id", "s"), "item-simhashes"), "item_id")
-    pairs = a.join(b, ["block", "value"]).where(F.bit_count(F.col("wfp").bitwiseXOR(F.col("fp"))) <= RADIUS).select("wkey", "item_id").distinct()
+    sized_fps = written(simhashes(distinct, "wkey", "s").join(windows.select("wkey", "size").distinct(), "wkey"), "window-simhashes")
+    item_fps = written(simhashes(own, "ikey", "s").join(own.select("ikey", "size"), "ikey"), "item-simhashes")
+    a, b = near_blocks(sized_fps, WINDOW_FLIPS), near_blocks(item_fps, ITEM_FLIPS).withColumnRenamed("fp", "ifp")
+    pairs = a.join(b, ["size", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select("wkey", "ikey").distinct()
 
-    wb, ib = bags(distinct, "wkey", "s"), bags(own, "item_id", "s").withColumnRenamed("_n", "_m")
-    shared = pairs.join(wb, "wkey").join(ib, ["item_id", "_h"]).groupBy("wkey", "item_id").agg(F.sum(F.least("_n", "_m")).alias("inter"))
-    sized = shared.join(distinct.select("wkey", F.size("s").alias("_ws")), "wkey").join(own.select("item_id", F.size("s").alias("_is")), "item_id")
+    wb, ib = bags(distinct, "wkey", "s"), bags(own, "ikey", "s").withColumnRenamed("_n", "_m")
+    shared = pairs.join(wb, "wkey").join(ib, ["ikey", "_h"]).groupBy("wkey", "ikey").agg(F.sum(F.least("_n", "_m")).alias("inter"))
+    sized = shared.join(distinct.select("wkey", F.size("s").alias("_ws")), "wkey").join(own.select("ikey", "size", F.size("s").alias("_is")), "ikey")
     similarity = F.col("inter") / (F.col("_ws") + F.col("_is") - F.col("inter"))
-    matches = sized.withColumn("similarity", similarity).where(F.col("similarity") >= threshold).select("wkey", "item_id", "similarity")
+    matches = sized.withColumn("similarity", similarity).where(F.col("similarity") >= threshold).select("wkey", "size", "ikey", "similarity")
+    matches = matches.join(keyed_items.select("ikey", "item_id").distinct(), "ikey").drop("ikey")
 
-    return windows.select("doc_id", "key", "start", "len", "wkey").join(matches, "wkey").drop("wkey")
+    return windows.select("doc_id", "key", "size", "start", "len", "wkey").join(matches, ["wkey", "size"]).drop("wkey", "size")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -40,7 +40,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +55,10 @@ BLOCK = 1 << 19
 SALTS = 32
 
 
+ODD = np.uint64(0x9E3779B97F4A7C15)
+BYTES = np.random.default_rng(0).integers(1, 1 << 63, 256, np.uint64)
+
+
 @dataclass(frozen=True)
 class Symbols:
     """What is compared: strings of ``length`` symbols of ``step`` bytes, by anchors of ``gram`` symbols.
@@ -72,8 +75,25 @@ class Symbols:
         """The symbols of a text as bytes."""
         if self.step == 1:
             return np.frombuffer(text.as_buffer(), np.uint8)
-        words = text.as_buffer().to_pybytes().split()
-        return np.array(list(map(xxhash.xxh3_64_intdigest, words)), np.uint64).astype("<u4").view(np.uint8)
+        return word_hashes(np.frombuffer(text.as_buffer(), np.uint8)).view(np.uint8)
+
+
+def word_hashes(data: np.ndarray) -> np.ndarray:
+    """32-bit hashes of what stands between white space."""
+    gap = (data == 32) | ((data >= 9) & (data <= 13))
+    starts = np.flatnonzero(~gap & np.r_[True, gap[:-1]])
+    if not len(starts):
+        return np.zeros(0, "<u4")
+    own = data[starts[0] :]
+    sizes = np.diff(np.r_[starts, len(data)])
+    place = np.arange(len(own)) - np.repeat(starts - starts[0], sizes)
+    powers = np.multiply.accumulate(np.full(int(sizes.max()), ODD, np.uint64))
+    value = BYTES[own] * powers[place]
+    value[gap[starts[0] :]] = 0
+    h = np.add.reduceat(value, starts - starts[0])
+    h ^= h >> np.uint64(31)
+    h *= ODD
+    return (h >> np.uint64(32)).astype("<u4")
 
 
 WORDS = Symbols(step=4, length=51, gram=8, across=True)
@@ -384,12 +404,20 @@ def passages(docs: DataFrame, symbols: Symbols = WORDS, batch_size: int = BATCH,
     return whole.union(parts).groupBy("cls").agg(F.max("n").alias("n_passage_words"))
 
 
-def kept_bytes(text, runs):
-    """The bytes of a text outside of runs, as a binary column."""
-    data = F.encode(text, "UTF-8")
-    step = lambda acc, r: F.struct(r["e"].alias("pos"), F.concat(acc["out"], F.substr(data, (acc["pos"] + 1).cast("int"), (r["s"] - acc["pos"]).cast("int"))).alias("out"))
-    last = lambda acc: F.concat(acc["out"], F.substr(data, (acc["pos"] + 1).cast("int"), F.length(data)))
-    return F.aggregate(runs, F.struct(F.lit(0).cast("long").alias("pos"), F.lit(b"").alias("out")), step, last)
+def kept_texts(rows: DataFrame) -> DataFrame:
+    """(cls, kept) of rows (cls, text, runs): the bytes of each text outside of its runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cls, text, runs in zip(batch.column("cls"), batch.column("text"), batch.column("runs").to_pylist()):
+                data, parts, at = text.as_buffer().to_pybytes(), [], 0
+                for r in runs:
+                    parts.append(data[at : r["s"]])
+                    at = r["e"]
+                kept = b"".join([*parts, data[at:]])
+                yield pa.RecordBatch.from_arrays([pa.array([cls.as_py()], pa.string()), pa.array([kept], pa.binary())], names=["cls", "kept"])
+
+    return rows.select("cls", "text", "runs").mapInArrow(run, "cls string, kept binary")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -401,7 +429,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.aggregate("runs", F.lit(0).cast("long"), lambda acc, r: acc + r["e"] - r["s"])
     # only texts of which a part stays are read beside their runs; one row for each text
     partly = found.where((F.size("runs") > 0) & (n < F.col("n_bytes"))).select("cls", "rep", "runs")
-    cut = own.join(partly, (F.col("key") == F.col("cls")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", F.sha2(kept_bytes(F.col("text"), F.col("runs")), 256).alias("sha")).dropDuplicates(["cls"])
+    cut = own.join(partly, (F.col("key") == F.col("cls")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "text", "runs")
+    cut = kept_texts(cut).select("cls", F.sha2("kept", 256).alias("sha")).dropDuplicates(["cls"])
     named = found.select("cls", n.alias("n_removed"), F.size("runs").cast("long").alias("n_spans")).join(cut, "cls", "left")
     named = named.join(shared, "cls", "left")
     rows = own.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text"), 256).alias("whole"))

@@ -54,7 +54,7 @@ def test_ann(spark):
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(60)]
     rows += [(60, None), (61, [0.0] * 8), (62, [1.0, float("nan"), *[0.0] * 6]), (63, [None, *[1.0] * 7]), (64, rows[3][1]), (65, rows[3][1]), (3, rows[3][1]), (66, [1.0, 2.0]), (67, []), (None, rows[1][1])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, qcid long")
-    got = ann.nearest(df, "vec_id", "embedding", df["vec_id"] % 3 == 0).collect()
+    got = ann.nearest(df, "vec_id", "embedding", df["vec_id"] % 3 == 0, target=1.0).collect()
     valid = {i: np.array(v, np.float32).astype(float) for i, v in rows if i is not None and v and None not in v and len(v) == 8 and np.isfinite(v).all() and any(v)}
     for q in [i for i in valid if i % 3 == 0]:
         want = sorted(((-sum(float(a) * float(b) for a, b in zip(valid[q], v)), i) for i, v in valid.items() if i != q))[:20]
@@ -63,36 +63,50 @@ def test_ann(spark):
         assert np.allclose([m[2] for m in mine], [-s for s, _ in want], rtol=0, atol=1e-12)
     assert not [r for r in got if r["query_id"] in (60, 63)]
     assert ann.nearest(empty(df), "vec_id", "embedding", df["vec_id"] % 3 == 0).count() == 0
+    few = ann.nearest(df.where("vec_id < 15"), "vec_id", "embedding", df["vec_id"] % 3 == 0).collect()
+    assert len(few) == 5 * 14  # all candidates, if there are fewer than 20
 
 
 def ann_recall(spark, x, **options):
-    """Mean recall at 20 of every 160th of the rows, and the least number of rows a query got."""
+    """Mean recall at 20 of every 200th of the rows, and the least number of rows a query got."""
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
     got = {}
-    for r in ann.nearest(df, "vec_id", "embedding", df["vec_id"] % 160 == 0, **options).select("query_id", "vec_id").collect():
+    for r in ann.nearest(df, "vec_id", "embedding", df["vec_id"] % 200 == 0, **options).select("query_id", "vec_id").collect():
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     x = x.astype(np.float32).astype(float)
     hits = []
-    for q in range(0, len(x), 160):
+    for q in range(0, len(x), 200):
         score = x @ x[q]
         score[q] = -np.inf
         hits.append(len(got[q] & set(np.argsort(-score)[:20].tolist())) / 20)
     return np.mean(hits), min(map(len, got.values()))
 
 
-@pytest.mark.parametrize("norms", ["outlier", "lognormal"])
-def test_ann_recall_with_unequal_norms(spark, norms):
+@pytest.mark.parametrize("norms", ["unit", "outlier", "lognormal"])
+def test_ann_recall_on_20000_vectors(spark, norms):
     rng = np.random.default_rng(6)
-    x = rng.normal(size=(16_000, 64))
+    x = rng.normal(size=(20_000, 64))
     x *= 1.5 / np.linalg.norm(x, axis=1)[:, None]
     if norms == "outlier":
         x[7] *= 1000
-    else:
+    elif norms == "lognormal":
         x *= np.exp(rng.normal(size=len(x)) * 0.8)[:, None]
     recall, rows = ann_recall(spark, x)
     assert recall >= 0.9 and rows == 20
 
 
+def test_ann_probes_part_of_the_index_and_splits_buckets(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(80, 64))
+    x = centres[np.arange(8000) % 80] + 0.15 * rng.normal(size=(8000, 64))
+    x[:2600] = centres[0] + 1e-3 * rng.normal(size=(2600, 64))  # a third in one bucket
+    probes = ann.fitted_probes(np.zeros(2000, int), x[::4], {0: 8000}, 20)
+    assert probes[0] <= 16  # of 128 signed axes: near vectors need few probes
+    whole, rows = ann_recall(spark, x)
+    split, _ = ann_recall(spark, x, bucket=500)
+    assert whole == split >= 0.9 and rows == 20
+
+
 def test_warc_round_trip(spark):
     big = "x" * 700_000
     rows = [(1, None, None), (2, "http://a/\r\n", "é" * 60), (3, "u", "é" * 60), (4, "u", big), (5, "u", big), (6, "u", "short"), (7, "u", "short"), (None, "u", big)]
@@ -173,6 +187,10 @@ def test_decontamination(spark, nasty):
     items = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "one"), (5, "zzz " * 30)], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(nasty, items).collect()}
     assert got == {(3, 4), (4, 1), (5, 1), (6, 1), (11, 1)}
+    # an item without an id is found, and items of one id are searched by their own texts
+    again = spark.createDataFrame([(None, item), (1, " ".join(WORDS[300:340])), (1, "zzz " * 30)], "item_id long, text string")
+    named = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(nasty, again).collect()}
+    assert named == {(i, j) for i in (4, 5, 6, 11) for j in (None, 1)}
     kept = decontaminate.clean(nasty, items)
     assert kept.columns == nasty.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "2", "7", "8", "9", "None", "10", "12"])
     assert decontaminate.contaminated(empty(nasty), items).count() == 0 and decontaminate.contaminated(nasty, empty(items)).count() == 0
