@@ -6,8 +6,9 @@ SHA-256 over (position, role, text), which is 128 bits and can be summed in two
 conversation whose last hash is also an inner prefix hash of another one is dropped by an anti-join;
 of equal conversations the smallest conv_id stays. What remains is maximal and gets rendered.
 
-Only DataFrame functions are used. Turns are dealt by (conversation, block of ``BLOCK`` turn numbers),
-so a conversation with very many turns is split; it is rendered as several parts of one block each.
+Only DataFrame functions are used. Positions come from range partitions in turn order, and hashes and
+texts are worked on by blocks of ``BLOCK`` positions, so a conversation of very many rows, whatever their turn
+numbers, is split; it is rendered as several parts of one block each.
 
 Edge cases: turns are ordered by (turn, role, text), nulls first; a null role or text is unlike an
 empty one for the comparison and rendered as empty; rows with a null conv_id form one conversation;
@@ -19,22 +20,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import discard, table, written
 
 BLOCK = 512
 SUMS = ["_s0", "_s1", "_s2", "_s3"]
 
 
 def positions(turns: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(conv_id, role, text, _b, _pos): 1-based position of each turn, found per block and then shifted."""
-    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").withColumn("_b", F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62))))
-    in_block = Window.partitionBy("conv_id", "_b").orderBy("turn", "role", "text")
-    rows = rows.withColumn("_p", F.row_number().over(in_block))
-    sizes = rows.groupBy("conv_id", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("conv_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col("conv_id").alias("_c"), F.col("_b").alias("_b2"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    same = F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_b") == F.col("_b2"))
-    return rows.join(starts, same).select("conv_id", "role", "text", "_b", (F.col("_o") + F.col("_p")).alias("_pos"))
+    """Written (conv_id, role, text, _b, _pos): 1-based position of each turn and its block.
+
+    Rows are sorted in range partitions; a conversation that spans several adds up their counts.
+    """
+    order = ["conv_id", "turn", "role", "text"]
+    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_rows = written(rows.select("conv_id", "role", "text", F.monotonically_increasing_id().alias("_i"), F.spark_partition_id().alias("_t")), "sorted-turns")
+    sizes = sorted_rows.groupBy("conv_id", "_t").agg(F.min("_i").alias("_lo"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("conv_id").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("conv_id").alias("_c"), F.col("_t").alias("_t2"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_lo")).alias("_o"))
+    same = F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_t") == F.col("_t2"))
+    placed = sorted_rows.join(starts, same).withColumn("_pos", F.col("_o") + F.col("_i") + 1)
+    placed = written(placed.select("conv_id", "role", "text", F.floor((F.col("_pos") - 1) / block).alias("_b"), "_pos"), "turns")
+    discard(sorted_rows)
+    return placed
 
 
 def prefix_hashes(placed: DataFrame) -> DataFrame:
@@ -55,7 +62,7 @@ def prefix_hashes(placed: DataFrame) -> DataFrame:
 
 def maximal(placed: DataFrame) -> DataFrame:
     """(conv_id, n_turns) of the conversations that are no prefix of another one."""
-    hashes = prefix_hashes(placed)
+    hashes = written(prefix_hashes(placed), "turn-hashes")
     key = ["_pos", *SUMS]
     last = hashes.groupBy("conv_id").agg(F.max_by(F.struct(*key), "_pos").alias("_k")).select("conv_id", "_k.*")
     kept = last.groupBy(*key).agg(F.min("conv_id").alias("conv_id"))
@@ -73,9 +80,8 @@ def format_chats(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     kept = maximal(placed).withColumnRenamed("conv_id", "_c")
     line = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
     rows = placed.join(kept, F.col("conv_id").eqNullSafe(F.col("_c"))).select("conv_id", "n_turns", "_b", "_pos", line.alias("_line"))
-    parts = rows.groupBy("conv_id", "n_turns", "_b").agg(F.min("_pos").alias("first_turn"), F.array_sort(F.collect_list(F.struct("_pos", "_line"))).alias("_l"))
-    no = Window.partitionBy("conv_id").orderBy("_b")
-    return parts.select("conv_id", F.row_number().over(no).cast("long").alias("part"), "first_turn", "n_turns", F.concat_ws("", F.col("_l._line")).alias("rendered"))
+    parts = rows.groupBy("conv_id", "n_turns", "_b").agg(F.array_sort(F.collect_list(F.struct("_pos", "_line"))).alias("_l"))
+    return parts.select("conv_id", (F.col("_b") + 1).alias("part"), (F.col("_b") * block + 1).alias("first_turn"), "n_turns", F.concat_ws("", F.col("_l._line")).alias("rendered"))
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,10 +101,10 @@ inner_keys AS (SELECT DISTINCT h.pos, h.k FROM h JOIN n ON h.conv_id = n.conv_id
 one AS (SELECT pos, k, min(conv_id) AS conv_id FROM last GROUP BY pos, k),
 kept AS (SELECT conv_id, pos AS len FROM one WHERE NOT EXISTS (SELECT 1 FROM inner_keys i WHERE i.pos = one.pos AND i.k = one.k)),
 b AS (
-  SELECT t.conv_id, kept.len, CAST(floor(t.turn / {BLOCK}) AS BIGINT) AS b, t.pos, '<|' || coalesce(t.role, '') || '|>' || chr(10) || coalesce(t.text, '') || chr(10) AS line
+  SELECT t.conv_id, kept.len, CAST(floor((t.pos - 1) / {BLOCK}) AS BIGINT) AS b, t.pos, '<|' || coalesce(t.role, '') || '|>' || chr(10) || coalesce(t.text, '') || chr(10) AS line
   FROM t JOIN kept ON t.conv_id = kept.conv_id
 )
-SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY b) AS BIGINT) AS part, CAST(min(pos) AS BIGINT) AS first_turn,
+SELECT conv_id, b + 1 AS part, CAST(min(pos) AS BIGINT) AS first_turn,
   CAST(len AS BIGINT) AS n_turns, string_agg(line, '' ORDER BY pos) AS rendered
 FROM b GROUP BY conv_id, len, b
 """

@@ -6,15 +6,14 @@
    similarity ``percent`` or more share a shingle among the first n - ceil(percent * n) + 1 of each.
 3. These prefixes are dealt by shingle. Groups of up to ``CAP`` classes list their pairs that pass the
    length and position filters. Larger groups first compare all members with the group's least class;
-   members that are still in different components afterwards are compared in blocks. Both are
-   exact: a pair is left out only when its two classes are already in one component.
+   members that are still in different components afterwards are compared in blocks, those of the group's largest component
+   only with the others. Both are exact: a pair is left out only when its two classes are already in one component.
 4. Every set has a bitmap of ``SKETCH`` bits, or of its size rounded up to a power of two if that is
    more: the parity of the shingles that fall on each bit. Two bitmaps differ in no more bits than the
    sets differ in shingles, so pairs whose bitmaps differ in more than the threshold allows are dropped
    before any set is read.
-5. Candidates of one class are read in the order of their sets, which walks the prefix tree (trie) of
-   those sets depth first: overlaps along a shared path are kept and a path is left as soon as the
-   remaining lengths cannot reach the needed overlap.
+5. The ordered sets of the candidates of one class are stored in a prefix tree (trie) and searched with the class's own set:
+   overlaps along a shared path are counted once and a subtree is left as soon as its lengths cannot reach the needed overlap.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Shingles are 63-bit hashes.
 
@@ -37,6 +36,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import checked, table, written
 from tessera.llm.components import connected
+from tessera.llm.trie import PrefixTree
 
 SHINGLE = 5
 PERCENT = 80
@@ -49,6 +49,9 @@ FREQUENT, MAX_FREQUENT = 64, 1 << 18
 #: Shingles that are counted together before those that occur once are let go.
 CHUNK = 2_000_000
 SALTS = 16
+#: Members of a group's largest component that meet a block of the others at a time; sets in one prefix tree, and their keys.
+MAJOR = 4096
+TREE_SETS, TREE_KEYS = 2048, 1 << 20
 SKETCH = 1024
 TOP = np.uint64(1 << 63)
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -314,30 +317,27 @@ def verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, frequent, perc
     dealt = _rep_sets(texts, wanted, frequent, sent, "x long, salt long, kind long, y long, keys binary").repartition("x", "salt").sortWithinPartitions("x", "salt", "kind", "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(0, np.uint64)
-        before, path = np.zeros(0, np.uint64), np.zeros(1, np.int64)  # the last set and its overlaps along the path
+        own, x, held, size = np.zeros(0, np.uint64), None, [], 0
+
+        def searched() -> pa.RecordBatch:
+            tree = PrefixTree([keys for _, keys in held])
+            hits = [held[i][0] for i in tree.similar(own, percent)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x] * len(hits), pa.int64()), pa.array(hits, pa.int64())], names=["a", "b"])
+
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            for x, kind, y, raw in zip(batch.column("x").to_pylist(), batch.column("kind").to_pylist(), batch.column("y").to_pylist(), batch.column("keys")):
+            for cls, kind, y, raw in zip(batch.column("x").to_pylist(), batch.column("kind").to_pylist(), batch.column("y").to_pylist(), batch.column("keys")):
                 keys = from_bytes(raw.as_buffer())
+                if held and (kind == 0 or len(held) >= TREE_SETS or size >= TREE_KEYS):
+                    yield searched()
+                    size = 0
                 if kind == 0:
-                    own, before, path = keys, keys[:0], np.zeros(1, np.int64)
+                    own, x = keys, cls
                     continue
-                n, need = len(keys), -(-percent * (len(own) + len(keys)) // (100 + percent))
-                m = min(n, len(before), len(path) - 1)
-                differ = np.flatnonzero(keys[:m] != before[:m])
-                at = int(differ[0]) if len(differ) else m  # depth down to which the path is shared
-                path = path[: at + 1]
-                while at < n and path[-1] + min(n - at, len(own)) >= need:
-                    part = keys[at : at + 256]
-                    place = np.minimum(np.searchsorted(own, part), len(own) - 1)
-                    path = np.concatenate([path, path[-1] + np.cumsum(own[place] == part)])
-                    at += len(part)
-                before = keys
-                if at == n and path[-1] >= need:
-                    out.append((x, y))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+                held.append((y, keys))
+                size += len(keys)
+        if held:
+            yield searched()
 
     return written(dealt.mapInArrow(run, "a long, b long"), "links")
 
@@ -347,8 +347,14 @@ def block_pairs(members: DataFrame, percent: int, block: int) -> DataFrame:
 
     Pairs that the bitmaps rule out are not listed.
     """
-    sizes = members.groupBy("token").agg(F.count(F.lit(1)).alias("m")).select("token", F.ceil(F.col("m") / block).cast("int").alias("nb"))
-    rows = members.join(sizes, "token").withColumn("own", F.pmod(F.xxhash64("x"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    by_comp = members.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
+    sizes = by_comp.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.max("c").alias("c"), F.sum("c").alias("m"))
+    # blocks 0.. hold the rows of all but the largest component, blocks -1, -2, .. those of the largest one
+    sizes = sizes.select("token", "major", F.ceil((F.col("m") - F.col("c")) / block).cast("int").alias("nb"), F.ceil(F.col("c") / MAJOR).cast("int").alias("nk"))
+    rows = members.join(sizes, "token").withColumn("large", F.col("comp") == F.col("major"))
+    place = F.xxhash64("x")
+    rows = rows.withColumn("own", F.when(F.col("large"), -1 - F.pmod(place, F.col("nk"))).otherwise(F.pmod(place, F.col("nb"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.when(F.col("large"), 0).otherwise(-F.col("nk")), F.col("nb") - 1)))
     rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "x", "n", "pos", "sketch", "comp")
 
     def run(key, group):

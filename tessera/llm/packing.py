@@ -5,8 +5,9 @@
    that number. No piece moves to get its place, and one hot length needs no large group.
 2. The histogram has at most ``window`` rows. Lengths are binned by ``grain``; all combinations of up
    to three bins that fill a window exactly are enumerated, and non-negative least squares finds repeat
-   counts that reproduce the histogram. Counts are rounded down and kept feasible.
-3. What is left is packed greedily, longest first into the fullest window that has room. Windows
+   counts that reproduce the histogram. The active-set solution has no more combinations than there are bins, so
+   rounding keeps nearly all of it; it is solved again for what is left until no count rounds to one.
+3. What is left is packed greedily: combinations that still fill a window, then longest first into the fullest window that has room. Windows
    that still miss more than ``tolerance`` tokens are undone and their pieces laid end to end, cut at
    the window boundaries.
 
@@ -104,49 +105,74 @@ def combinations_filling(units: int, present: np.ndarray) -> list[tuple[int, ...
     return found
 
 
-def nnls(matrix: np.ndarray, target: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Non-negative x of least |matrix x - target|, by accelerated projected gradients."""
-    rng = np.random.default_rng(0)
-    v = rng.random(matrix.shape[1])
-    for _ in range(20):
-        v = matrix.T @ (matrix @ v)
-        v /= np.linalg.norm(v)
-    step = 1 / (1.02 * np.linalg.norm(matrix.T @ (matrix @ v)))
-    x = y = np.zeros(matrix.shape[1])
-    t = 1.0
-    for _ in range(rounds):
-        new = np.maximum(0, y - step * (matrix.T @ (matrix @ y - target)))
-        t, was = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
-        y = new + (was - 1) / t * (new - x)
-        x = new
+def nnls(matrix: np.ndarray, target: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
+    """Non-negative x of least |matrix x - target|, by active sets; at most as many values as rows are not 0."""
+    x = np.zeros(matrix.shape[1])
+    chosen: list[int] = []  # columns that may be positive
+    for _ in range(3 * len(target)):
+        slope = matrix.T @ (target - matrix[:, chosen] @ x[chosen])
+        slope[chosen] = 0
+        best = int(slope.argmax())
+        if slope[best] <= tolerance:
+            break
+        chosen.append(best)
+        while True:
+            part = matrix[:, chosen]
+            free = np.linalg.lstsq(part, target, rcond=None)[0]
+            if free.min() > 0:
+                x[chosen] = free
+                break
+            now = x[chosen]
+            low = np.flatnonzero(free <= 0)
+            share = (now[low] / np.maximum(now[low] - free[low], 1e-300)).min()
+            now = now + share * (free - now)
+            x[chosen] = now
+            gone = {chosen[i] for i in low if now[i] <= 1e-12}
+            if not gone:
+                gone = {chosen[int(low[np.argmin(now[low])])]}
+            for i in gone:
+                x[i] = 0.0
+            chosen = [i for i in chosen if i not in gone]
+            if not chosen:
+                break
     return x
 
 
-def by_squares(histogram: dict[int, int], window: int, grain: int) -> list[tuple[tuple[int, ...], int]]:
-    """(bins, repeats) that use no more of a bin than there is."""
-    units = window // grain
-    have = np.zeros(units + 1)
-    for length, n in histogram.items():
-        have[-(-length // grain)] += n
-    combos = combinations_filling(units, have > 0)
-    if not combos:
-        return []
-    matrix = np.zeros((units + 1, len(combos)), dtype=np.float32)
-    for k, combo in enumerate(combos):
-        for b in combo:
-            matrix[b, k] += 1
-    scale = max(1.0, have.max())
-    x = nnls(matrix, have / scale).astype(float) * scale
-    left, chosen = have.astype(np.int64), []
-    for exact in (False, True):  # then whatever still fits as a whole combination
+def by_squares(left: np.ndarray, combos: list[tuple[int, ...]]) -> list[tuple[tuple[int, ...], int]]:
+    """(bins, repeats) by least squares; ``left``, how many pieces a bin holds, is brought down to the rest."""
+    chosen: list[tuple[tuple[int, ...], int]] = []
+    while combos:
+        matrix = np.zeros((len(left), len(combos)))
+        for k, combo in enumerate(combos):
+            for b in combo:
+                matrix[b, k] += 1
+        scale = float(max(1, left.max()))
+        x = nnls(matrix, left / scale) * scale
+        placed = 0
         for k in np.argsort(-x, kind="stable"):
             need = Counter(combos[k])
-            n = min(left[b] // m for b, m in need.items())
-            n = int(n if exact else min(n, np.floor(x[k])))
+            n = int(min(min(left[b] // m for b, m in need.items()), np.round(x[k])))
             if n > 0:
                 chosen.append((combos[k], n))
+                placed += n
                 for b, m in need.items():
                     left[b] -= m * n
+        combos = [c for c in combos if all(left[b] >= m for b, m in Counter(c).items())]
+        if not placed:
+            break
+    return chosen
+
+
+def whole_combinations(left: np.ndarray, combos: list[tuple[int, ...]]) -> list[tuple[tuple[int, ...], int]]:
+    """(bins, repeats) of what of the rest still fills windows, greedily."""
+    chosen = []
+    for combo in combos:
+        need = Counter(combo)
+        n = int(min(left[b] // m for b, m in need.items()))
+        if n > 0:
+            chosen.append((combo, n))
+            for b, m in need.items():
+                left[b] -= m * n
     return chosen
 
 
@@ -210,7 +236,11 @@ def make_plan(histogram: dict[int, int], window: int = WINDOW, grain: int = GRAI
     queue = defaultdict(list)  # by bin: [length, left], ascending
     for length in sorted(rest):
         queue[-(-length // grain)].append([length, rest[length]])
-    for bins, n in by_squares(rest, window, grain):
+    left_in = np.zeros(window // grain + 1, np.int64)
+    for length, n in rest.items():
+        left_in[-(-length // grain)] += n
+    combos = combinations_filling(window // grain, left_in > 0)
+    for bins, n in by_squares(left_in, combos) + whole_combinations(left_in, combos):
         while n:
             take: list[int] = []
             cursor: Counter = Counter()

@@ -1,12 +1,13 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
 Seeds are four kinds of entities found by patterns: e-mail addresses, IP addresses, card numbers and
-phone numbers. Each seed induces a lexical pattern, the two words before it. Patterns and
-identifier-like tokens (those with a digit or ``@``) form a bipartite graph of distinct
-(pattern, instance) edges. In each round a pattern's confidence in a kind is the mean score of its
-instances, an instance's score is that of its most confident pattern (1 for seeds). Patterns with at
-least ``min_seeds`` distinct seeds and ``min_confidence`` vouch; instances that they vouch for, and
-whose form suits the kind, are found wherever they follow such a pattern. So are digit groups written
+phone numbers. Every mention of a seed or of another token whose form may be of a kind induces lexical patterns: the word before it,
+the two words before it, the word after it, and the words on both sides; words are lower-cased, without outer punctuation, their
+digits made equal. Patterns and instances (normalised tokens) of a kind form a bipartite graph of distinct edges.
+A pattern's confidence in a kind is the lower end of the Wilson interval (``Z`` standard errors) of its precision, the
+mean score of its instances: 1 for seeds, that of the most confident pattern that vouches for it for others, else 0. Patterns with at
+least ``min_seeds`` instances that score and ``min_confidence`` vouch; what they vouch for counts as found in the next round and may induce further
+patterns, until no pattern is added. Found are the tokens that suit the kind, wherever they stand in such a pattern. So are digit groups written
 with spaces (for card and phone, the most whole groups that suit) and tokens like ``a[at]b[dot]c``;
 these have no part in the confidences.
 
@@ -18,7 +19,8 @@ the last one ended).
 
 Edge cases: null and empty texts have no spans; spans of different kinds may overlap; repeated rows
 and null doc_ids are kept as rows of their own; an empty table gives no rows; extra columns are
-ignored. A word before an entity is looked for in the 80 characters before it.
+ignored. A pattern's words are looked for in the 80 characters
+before and after an entity; one with fewer words there has fewer patterns.
 """
 
 from __future__ import annotations
@@ -46,25 +48,46 @@ GROUPS = r"(?<!\S)[+(]?[0-9]++(?:\)?[\x20./-]\(?[0-9]++)++"
 SPELT = r"[\[({<](?i:at|dot)[\])}>]"
 VEILED = rf"(?<!\S)[^\s0-9@]*?{SPELT}[^\s0-9@]*+(?!\S)"
 CONTEXT_CHARS = 80
-ROUNDS = 3
 MIN_SEEDS = 5
 MIN_CONFIDENCE = 0.6
+Z = 3.0
+#: Matches of a text whose positions are added up at a time.
+RUN = 256
 SPANS = "array<struct<s:int,e:int,t:string>>"
 
 
-def spans_of(text, pattern: str):
-    """Array of (s, e, t): code point positions, end exclusive, and string of each match."""
-    found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(found, F.slice(pieces, 1, F.size(found)), lambda m, g: F.struct(F.length(g).alias("g"), F.length(m).alias("n"), m.alias("t")))
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(SPANS).alias("out"))
+def let(value, body):
+    """``body`` of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _placed(pairs, at):
+    """(s, e, t) of (g, n, t), gap and length of each match, from position ``at`` on."""
+    start = F.struct(at.alias("pos"), F.array().cast(SPANS).alias("out"))
 
     def step(acc, x):
-        at, end = acc["pos"] + x["g"], acc["pos"] + x["g"] + x["n"]
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(F.struct(at.alias("s"), end.alias("e"), x["t"].alias("t"))).cast(SPANS)).alias("out"))
+        begin, end = acc["pos"] + x["g"], acc["pos"] + x["g"] + x["n"]
+        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(F.struct(begin.alias("s"), end.alias("e"), x["t"].alias("t"))).cast(SPANS)).alias("out"))
 
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
+def _placed_by_runs(pairs):
+    """The same in runs of ``RUN`` matches: appending to one array takes time with the square of its length."""
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / RUN).cast("int")), lambda i: F.slice(pairs, i * RUN + 1, RUN))
+    length = lambda r: F.aggregate(r, F.lit(0), lambda acc, x: acc + x["g"] + x["n"])
+    first = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out"))
+    starts = lambda rs: F.aggregate(F.transform(rs, length), first, lambda acc, n: F.struct((acc["pos"] + n).alias("pos"), F.concat(acc["out"], F.array(acc["pos"])).alias("out")), lambda acc: acc["out"])
+    return let(runs, lambda rs: F.flatten(F.zip_with(rs, starts(rs), _placed)))
+
+
+def spans_of(text, pattern: str):
+    """Array of (s, e, t): code point positions, end exclusive, and string of each match."""
+    found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    pairs = F.zip_with(found, F.slice(pieces, 1, F.size(found)), lambda m, g: F.struct(F.length(g).alias("g"), F.length(m).alias("n"), m.alias("t")))
+    return let(pairs, lambda p: F.when(F.size(p) <= RUN, _placed(p, F.lit(0))).otherwise(_placed_by_runs(p)))
+
+
 def _digits(t):
     return F.regexp_replace(t, "[^0-9]", "")
 
@@ -101,24 +124,32 @@ def base_spans(text, kind: str):
     return F.when(hint, found).otherwise(F.array().cast(SPANS))
 
 
-def _norm(t, kind):
-    return F.when(kind.isin("card", "phone"), _digits(t)).otherwise(F.lower(t))
+def _word(w):
+    """A word as patterns have it: lower-cased, bare of outer punctuation unless that is all, digits made equal."""
+    bare = F.regexp_replace(F.lower(w), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    return F.regexp_replace(F.when(bare == "", w).otherwise(bare), "[0-9]", "0")
 
 
-def _left(text, at):
-    """The two lower-cased words before a position; null if there are fewer."""
+def _patterns(text, at, end):
+    """The patterns of a mention: l1:word, l2:two words, r1:word after, lr:word before and after."""
     begin = F.greatest(at - CONTEXT_CHARS, F.lit(0))
-    words = F.filter(F.split(F.substr(text, begin + 1, at - begin), r"\s+"), lambda w: w != "")
-    return F.when(F.size(words) >= 2, F.lower(F.array_join(F.slice(words, -2, 2), " ")))
+    words = lambda part: F.transform(F.filter(F.split(part, r"\s+"), lambda w: w != ""), _word)
+    left, right = words(F.substr(text, begin + 1, at - begin)), words(F.substr(text, end + 1, F.lit(CONTEXT_CHARS)))
+
+    def of(c):
+        l1, l2, r1 = F.get(F.reverse(c["l"]), 0), F.get(F.reverse(c["l"]), 1), F.get(c["r"], 0)
+        return F.array_compact(F.array(F.concat(F.lit("l1:"), l1), F.concat(F.lit("l2:"), l2, F.lit(" "), l1), F.concat(F.lit("r1:"), r1), F.concat(F.lit("lr:"), l1, F.lit(" "), r1)))
+
+    return let(F.struct(left.alias("l"), F.slice(right, 1, 1).alias("r")), of)
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One pass over the texts, written: row, doc_id, key, the base spans by kind, other tokens with their left words, and ``loose`` ones that no confidence counts."""
+    """One pass over the texts, written: row, doc_id, key, the base spans by kind, mentions of them and of other tokens with their patterns, and ``loose`` ones that no confidence counts."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.md5(text).alias("key"))
     rows = rows.select("*", *[base_spans(F.col("text"), k).alias(k) for k in KINDS])
     every = F.concat(*KINDS)
-    mention = lambda kind: lambda x: F.struct(kind.alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), _left(F.col("text"), x["s"]).alias("left"))
+    mention = lambda kind: lambda x: F.struct(kind.alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), _patterns(F.col("text"), x["s"], x["e"]).alias("patterns"))
     seeds = F.concat(*[F.transform(k, mention(F.lit(k))) for k in KINDS])
     free = F.filter(spans_of(F.col("text"), TOKEN), lambda x: ~F.exists(F.col("_all"), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     others = F.transform(free, mention(F.lit(None).cast("string")))
@@ -148,29 +179,53 @@ def _suits(kind, token):
     )
 
 
-def discovered(scanned: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def _instance(t, kind):
+    """What two mentions of one identifier have in common."""
+    return F.when(kind.isin("card", "phone"), _digits(t)).otherwise(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]+$", ""))
+
+
+def wilson(mean, n, z: float):
+    """Lower end of the Wilson interval of a mean of n values in 0..1."""
+    z2 = z * z
+    return (mean + z2 / (2 * n) - z * F.sqrt(mean * (1 - mean) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+
+
+def trusted_patterns(mentions: DataFrame, min_seeds: int, min_confidence: float, z: float) -> DataFrame:
+    """Written (pattern, kind, trust) of the patterns that vouch, from mentions(kind, t, patterns), by iteration to a fixpoint.
+
+    Scores only rise and patterns are only added, so it ends.
+    """
+    suits = F.filter(F.array(*map(F.lit, KINDS)), lambda k: _suits(k, F.col("t")))
+    kinds = F.when(F.col("kind").isNull(), suits).otherwise(F.array("kind"))
+    rows = mentions.select("patterns", "t", F.col("kind").isNotNull().alias("is_seed"), F.explode(kinds).alias("kind"))
+    rows = rows.select("kind", _instance(F.col("t"), F.col("kind")).alias("inst"), "is_seed", F.explode("patterns").alias("pattern"))
+    edges = written(rows.groupBy("pattern", "kind", "inst").agg(F.max("is_seed").alias("is_seed")), "pii-edges")
+    seeds = edges.where("is_seed").select("kind", "inst", F.lit(1.0).alias("score")).distinct()
+    scores, before, trusted = seeds, 0, None
+    while True:
+        stats = edges.join(scores, ["kind", "inst"], "left").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n"), F.count("score").alias("m"), F.avg(F.coalesce("score", F.lit(0.0))).alias("mean"))
+        strong = stats.where(F.col("m") >= min_seeds).select("pattern", "kind", wilson(F.col("mean"), F.col("n"), z).alias("trust"))
+        now = written(strong.where(F.col("trust") >= min_confidence), "pii-patterns")
+        n = now.count()
+        if n == before:
+            return now if trusted is None else trusted
+        trusted, before = now, n
+        vouched = edges.join(now, ["pattern", "kind"]).groupBy("kind", "inst").agg(F.max("trust").alias("score"))
+        scores = written(seeds.union(vouched).groupBy("kind", "inst").agg(F.max("score").alias("score")), "pii-scores")
+
+
+def discovered(scanned: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, z: float = Z) -> DataFrame:
     """(row, kind, s, e) of the spans that patterns vouch for, beside the base spans."""
-    mentions = scanned.select("row", F.explode("mentions").alias("m")).select("row", "m.*").where("left is not null")
-    inst = F.when(F.col("kind").isNull(), F.lower("t")).otherwise(_norm(F.col("t"), F.col("kind")))
-    mentions = mentions.withColumn("inst", inst)
-    # edges of patterns that have seeds, per kind; the same edges for the instances without a kind
-    edges = written(mentions.groupBy("left", "inst", F.col("kind").alias("seed")).agg(F.count(F.lit(1)).alias("n")), "pii-edges")
-    seeded = edges.where("seed is not null").groupBy("left", F.col("seed").alias("kind")).agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= min_seeds)
-    graph = edges.select("left", "inst", "seed").join(seeded, "left").select("left", "inst", "kind", (F.col("seed").eqNullSafe(F.col("kind"))).alias("is_seed"))
-    graph = written(graph.groupBy("left", "inst", "kind").agg(F.max("is_seed").alias("is_seed")), "pii-graph")
-    scores = graph.groupBy("inst", "kind").agg(F.max(F.col("is_seed").cast("double")).alias("score"))
-    for _ in range(rounds):
-        trust = graph.join(scores, ["inst", "kind"]).groupBy("left", "kind").agg(F.avg("score").alias("trust"))
-        best = graph.join(trust.where(F.col("trust") >= min_confidence), ["left", "kind"], "left").groupBy("inst", "kind").agg(F.max("is_seed").alias("is_seed"), F.max("trust").alias("t"))
-        scores = written(best.select("inst", "kind", F.when(F.col("is_seed"), 1.0).otherwise(F.coalesce("t", F.lit(0.0))).alias("score")), "pii-scores")
-    trusted = graph.join(scores, ["inst", "kind"]).groupBy("left", "kind").agg(F.avg("score").alias("trust")).where(F.col("trust") >= min_confidence)
-    kind = trusted.groupBy("left").agg(F.max_by("kind", F.struct("trust", "kind")).alias("_kind"))
-    fresh = mentions.where("kind is null").join(kind, "left").where(_suits(F.col("_kind"), F.col("t")))
-    loose = scanned.select("row", F.explode("loose").alias("m")).select("row", "m.*").where("left is not null").join(kind, "left")
+    mentions = scanned.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
+    trusted = checked(trusted_patterns(mentions, min_seeds, min_confidence, z).withColumnRenamed("kind", "_kind"))
+    kinded = lambda some: some.withColumn("pattern", F.explode("patterns")).join(trusted, "pattern")
+    best = F.max_by("_kind", F.struct("trust", "_kind")).alias("kind")
+    fresh = kinded(mentions.where("kind is null")).where(_suits(F.col("_kind"), F.col("t"))).groupBy("row", "s", "e").agg(best)
     whole = lambda least, most: F.regexp_extract("t", rf"^[+(]?(?:[0-9][^0-9]{{0,3}}){{{least - 1},{most - 1}}}[0-9](?![0-9])", 0)
     part = F.when(F.col("_kind") == "phone", whole(7, 15)).when(F.col("_kind") == "card", whole(12, 19)).when((F.col("_kind") == "email") & _suits(F.col("_kind"), F.col("t")), F.col("t"))
-    loose = loose.withColumn("e", F.col("s") + F.length(part)).where(F.length(part) > 0)
-    both = fresh.select("row", F.col("_kind").alias("kind"), "s", "e").union(loose.select("row", F.col("_kind").alias("kind"), "s", "e"))
+    loose = kinded(scanned.select("row", F.explode("loose").alias("m")).select("row", "m.*"))
+    loose = loose.withColumn("e", F.col("s") + F.length(part)).where(F.length(part) > 0).groupBy("row", "s").agg(best, F.max_by("e", F.struct("trust", "_kind")).alias("e"))
+    both = fresh.select("row", "kind", "s", "e").union(loose.select("row", "kind", "s", "e"))
     return both.groupBy("row", "kind", "s").agg(F.max("e").alias("e")).select("row", "kind", "s", "e")
 
 
@@ -216,13 +271,13 @@ def redact(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn("_tessera_k", F.md5(F.coalesce("text", F.lit(""))))
     both = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("_tessera_id")) & (F.col("_tessera_k") == F.col("_tessera_key")), "left")
     text = F.col("text")
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, x):
         fresh = x["s"] >= acc["pos"]
         piece = F.concat(F.substr(text, acc["pos"] + 1, F.greatest(x["s"] - acc["pos"], F.lit(0))), F.lit("<"), F.upper(x["kind"]), F.lit(">"))
-        return F.struct(F.greatest(acc["pos"], x["e"]).alias("pos"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+        return F.struct(F.greatest(acc["pos"], x["e"]).alias("pos"), F.when(fresh, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate("_tessera_spans", start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["pos"] + 1, F.length(text))))
+    done = F.aggregate("_tessera_spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["pos"] + 1, F.length(text))))
     new = both.withColumn("text", F.when(F.col("_tessera_spans").isNull(), text).otherwise(done))
     return new.withColumn("n_chars", F.when(F.col("_tessera_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)

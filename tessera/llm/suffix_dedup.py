@@ -49,8 +49,8 @@ LENGTH = 400
 GRAM = 32
 #: Excerpts of small collections that are worked on together, and the largest collection in one task.
 BATCH, MAX_GROUP = 8_000, 50_000
-#: Bytes of a document that are hashed at a time.
-BLOCK = 1 << 19
+#: Symbols that are hashed, and bytes of texts that are worked on, at a time.
+BLOCK, TEXTS = 1 << 19, 1 << 21
 #: Parts of the rows of one string in the join that marks repeated strings.
 SALTS = 32
 
@@ -73,15 +73,30 @@ class Symbols:
 
     def of(self, text: pa.StringScalar) -> np.ndarray:
         """The symbols of a text as bytes."""
+        data = np.frombuffer(text.as_buffer(), np.uint8)
+        return self.of_all(data, np.array([0, len(data)]))[0]
+
+    def of_all(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols, as bytes, of texts that lie end to end in ``data``, and the texts' bounds among them."""
         if self.step == 1:
-            return np.frombuffer(text.as_buffer(), np.uint8)
-        return word_hashes(np.frombuffer(text.as_buffer(), np.uint8)).view(np.uint8)
+            return data, bounds
+        starts = word_starts(data, bounds)
+        return word_hashes(data, starts).view(np.uint8), np.searchsorted(starts, bounds)
+
+
+def word_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where a word begins: after white space or at the start of a text."""
+    begins = np.r_[True, is_space(data[:-1])] if len(data) else np.zeros(0, bool)
+    begins[bounds[:-1][bounds[:-1] < len(data)]] = True
+    return np.flatnonzero(begins & ~is_space(data))
+
+
+def is_space(data: np.ndarray) -> np.ndarray:
+    return (data == 32) | ((data >= 9) & (data <= 13))
 
 
-def word_hashes(data: np.ndarray) -> np.ndarray:
-    """32-bit hashes of what stands between white space."""
-    gap = (data == 32) | ((data >= 9) & (data <= 13))
-    starts = np.flatnonzero(~gap & np.r_[True, gap[:-1]])
+def word_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """32-bit hashes of the words that begin at ``starts`` and end at white space or the next start."""
     if not len(starts):
         return np.zeros(0, "<u4")
     own = data[starts[0] :]
@@ -89,7 +104,7 @@ def word_hashes(data: np.ndarray) -> np.ndarray:
     place = np.arange(len(own)) - np.repeat(starts - starts[0], sizes)
     powers = np.multiply.accumulate(np.full(int(sizes.max()), ODD, np.uint64))
     value = BYTES[own] * powers[place]
-    value[gap[starts[0] :]] = 0
+    value[is_space(own)] = 0
     h = np.add.reduceat(value, starts - starts[0])
     h ^= h >> np.uint64(31)
     h *= ODD
@@ -126,44 +141,51 @@ def sliding_minimum(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM, step: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, position, first, last) of a document's anchors; first and last start of the strings they stand for."""
-    width = length - gram + 1  # k-grams in a string of `length` bytes
-    found = [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)]
-    for at in range(0, max(0, len(data) // step - length + 1), BLOCK):
-        part = data[at * step : (at + BLOCK + length - 1) * step]
-        h = grams(part, gram, step)
+def anchors(data: np.ndarray, bounds: np.ndarray, symbols: Symbols) -> list[np.ndarray]:
+    """[text, hash, position, first, last] of the anchors of texts that lie end to end.
+
+    ``data`` holds their symbols, ``bounds`` where each begins and the end; first and last start of the strings that
+    an anchor stands for, like its position, count from the start of its text.
+    """
+    step, length = symbols.step, symbols.length
+    width = length - symbols.gram + 1  # k-grams in a string
+    found = [[np.zeros(0, np.int64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3]]
+    for at in range(0, max(0, int(bounds[-1]) - length + 1), BLOCK):
+        h = grams(data[at * step : (at + BLOCK + length - 1) * step], symbols.gram, step)
         mixed = (h >> np.uint64(20) << np.uint64(20)) | np.arange(len(h), dtype=np.uint64)  # of equal hashes the first
         least = sliding_minimum(mixed, width)
-        first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+        start = np.arange(at, at + len(least))
+        text = np.searchsorted(bounds, start, "right") - 1
+        whole = start + length <= bounds[text + 1]  # strings that end in their text
+        new = np.r_[True, (least[1:] != least[:-1]) | (text[1:] != text[:-1])]
+        first = np.flatnonzero(whole & (new | ~np.r_[False, whole[:-1]]))
+        last = np.flatnonzero(whole & (np.r_[new[1:], True] | ~np.r_[whole[1:], False]))
         pos = (least[first] & np.uint64((1 << 20) - 1)).astype(np.int64)
-        found.append((h[pos], pos + at, first + at, np.r_[first[1:] - 1, len(least) - 1] + at))
-    return tuple(np.concatenate(c) for c in zip(*found))
+        base = at - bounds[text[first]]
+        found.append([text[first], h[pos], pos + base, first + base, last + base])
+    return [np.concatenate(c) for c in zip(*found)]
 
 
 ANCHOR = "cls string, anchor long, pos int, first int, last int"
 
 
 def all_anchors(keyed: DataFrame, symbols: Symbols) -> DataFrame:
-    """Written ANCHOR rows of all documents."""
+    """Written ANCHOR rows of all documents, worked out for ``TEXTS`` bytes of texts at a time."""
     names = [x.split()[0] for x in ANCHOR.split(", ")]
 
-    def flush(classes: list[str], parts: list[tuple]) -> pa.RecordBatch:
-        h, *rest = (np.concatenate(c) for c in zip(*parts))
-        return pa.RecordBatch.from_arrays([pa.array(classes, pa.string()), pa.array(h.astype(np.int64)), *[pa.array(c.astype(np.int32)) for c in rest]], names=names)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            classes: list[str] = []
-            parts: list[tuple] = []
-            for cls, text in zip(batch.column("cls").to_pylist(), batch.column("text")):
-                parts.append(anchors(symbols.of(text), symbols.length, symbols.gram, symbols.step))
-                classes += [cls] * len(parts[-1][0])
-                if len(classes) > 100_000:
-                    yield flush(classes, parts)
-                    classes, parts = [], []
-            if classes:
-                yield flush(classes, parts)
+            column = batch.column("text").cast(pa.large_string())
+            offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+            whole = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+            a = 0
+            while a < len(column):
+                b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + TEXTS, "right")) - 1)
+                data, bounds = symbols.of_all(whole[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                text, h, *rest = anchors(data, bounds, symbols)
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([batch.column("cls").take(pa.array(text + a)), pa.array(h.astype(np.int64)), *[pa.array(c.astype(np.int32)) for c in rest]], names=names)
+                a = b
 
     return written(keyed.select("cls", "text").mapInArrow(run, ANCHOR), "anchors")
 

@@ -13,6 +13,7 @@ import pytest
 
 from tessera.llm import ann, chat, decontaminate, jaccard, packing, pii, suffix_dedup, toxicity, url_filter, warc
 from tessera.llm.common import new_path
+from tessera.llm.trie import PrefixTree
 
 WORDS = [f"w{i}" for i in range(400)]
 LONG = " ".join(WORDS)
@@ -271,25 +272,30 @@ def test_pii_base_matches_the_stated_expressions(spark):
 
 
 def test_pii_bootstraps_from_contexts(spark, nasty):
-    rows = [(i, f"so {w} please dial now +1 555 01{i:02d} 999 ok") for i, w in enumerate(WORDS[:8])]
-    rows += [(20, "please dial now 555-0199-77 thanks"), (21, "the build 555-0199-77 of today"), (22, "dial now word")]
+    rows = [(i, f"so {w} please dial now +1 555 01{i:02d} 999 ok{i}") for i, w in enumerate(WORDS[:24])]
+    rows += [(50, "please dial now 555-0199-77 thanks"), (51, "the build 555-0199-77 of today"), (52, "dial now word"), (53, "NOW: 555-0198-76 or")]
     found = pii.find_pii(docs_of(spark, rows))
     more = {r["doc_id"]: [(x["kind"], x["s"], x["e"]) for x in r["more"]] for r in found.collect() if r["more"]}
-    assert more == {20: [("phone", 16, 27)]}
+    assert more == {50: [("phone", 16, 27)], 53: [("phone", 5, 16)]}
     clean = pii.redact(docs_of(spark, rows))
-    assert {r["doc_id"]: r["text"] for r in clean.collect()}[20] == "please dial now <PHONE> thanks"
+    assert {r["doc_id"]: r["text"] for r in clean.collect()}[50] == "please dial now <PHONE> thanks"
     done = pii.redact(nasty)
     assert done.columns == nasty.columns and done.count() == nasty.count()
     assert {r["text"] for r in done.where("doc_id is null or doc_id = 12").collect()} == {"mail to <EMAIL> now", "<PHONE> call <CARD> or <IP> and 300.1.1.1"}
     assert pii.redact(empty(nasty)).count() == 0
 
 
+def luhn_ok(digits):
+    return sum(sum(divmod(int(c) * (2 if i % 2 else 1), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+CARDS = [c for c in (f"4111111111{i:06d}" for i in range(1000)) if luhn_ok(c)]
+
+
 def test_pii_finds_spaced_and_spelt_identifiers(spark):
-    rows = [(i, f"so {w} please dial now +1 555 01{i:02d} 999 ok") for i, w in enumerate(WORDS[:8])]
-    rows += [(i, f"so {w} write to x{w}@b.org ok") for i, w in enumerate(WORDS[:8], 100)]
-    cards = [f"41111111111111{i:02d}" for i in range(100)]
-    luhn = [c for c in cards if sum(sum(divmod(int(d) * (2 if k % 2 else 1), 10)) for k, d in enumerate(reversed(c))) % 10 == 0]
-    rows += [(200 + i, f"the card number {c} ok") for i, c in enumerate(luhn[:8])]
+    rows = [(i, f"so {w} please dial now +1 555 01{i:02d} 999 ok") for i, w in enumerate(WORDS[:24])]
+    rows += [(i, f"so {w} write to x{w}@b.org ok") for i, w in enumerate(WORDS[:24], 100)]
+    rows += [(200 + i, f"the card number {c} ok") for i, c in enumerate(CARDS[:24])]
     want = {
         300: ("please dial now 0171 5550199 thanks", "please dial now <PHONE> thanks"),
         301: ("please dial now (0171) 5550199 10.0.0.1", "please dial now <PHONE> <IP>"),
@@ -303,6 +309,69 @@ def test_pii_finds_spaced_and_spelt_identifiers(spark):
     assert {i: done[i] for i in want} == {i: t for i, (_, t) in want.items()}
 
 
+def python_bootstrap(mentions, min_seeds, least, z):
+    """Trusted (pattern, kind) of mentions (patterns, kind, instance, is_seed), by plain iteration."""
+    edges = {}
+    for patterns, kind, inst, seed in mentions:
+        for p in patterns:
+            edges.setdefault((p, kind), {}).setdefault(inst, False)
+            edges[p, kind][inst] |= seed
+    seeds = {(k, i) for (_, k), of in edges.items() for i, s in of.items() if s}
+    score, trusted, rounds = dict.fromkeys(seeds, 1.0), {}, 0
+    while True:
+        rounds += 1
+        new = {}
+        for (p, k), of in edges.items():
+            values = [score.get((k, i), 0.0) for i in of]
+            n, m = len(of), sum((k, i) in score for i in of)
+            mean = sum(values) / n
+            low = (mean + z * z / 2 / n - z * (mean * (1 - mean) / n + z * z / 4 / n / n) ** 0.5) / (1 + z * z / n)
+            if m >= min_seeds and low >= least:
+                new[p, k] = low
+        if len(new) == len(trusted):
+            return trusted, rounds
+        trusted = new
+        for (p, k), t in new.items():
+            for i in edges[p, k]:
+                score[k, i] = max(score.get((k, i), 0.0), t)
+
+
+def test_pii_patterns_equal_a_plain_iteration(spark):
+    rng = np.random.default_rng(12)
+    texts, mentions, planted, number = [], [], set(), 0
+    lefts = ["call us", "ring me", "our hotline", "fax no", "page 9", "| x"]
+    for i in range(900):
+        kind = rng.integers(0, 6)
+        left, right = lefts[kind], ["today", "soon", f"w{rng.integers(0, 9)}"][rng.integers(0, 3)]
+        seed = rng.random() < (0.95, 0.9, 0.02, 0.0, 0.3, 0.5)[kind]
+        number += 1
+        if rng.random() < 0.5 and kind in (1, 2):  # instances that the first context shares with the next one
+            digits = f"555{rng.integers(0, 60):05d}"
+            seed = False
+        else:
+            digits = f"1555{number:05d}"
+        token = f"+{digits[0]} {digits[1:]}" if seed else f"{digits[:3]}-{digits[3:]}"
+        texts.append(f"a {left} {token} {right} b")
+        l2, l1 = left.replace("9", "0").split()
+        r1 = re.sub("[0-9]", "0", right)
+        mentions.append(((f"l1:{l1}", f"l2:{l2} {l1}", f"r1:{r1}", f"lr:{l1} {r1}"), "phone", digits, seed))
+    want, rounds = python_bootstrap(mentions, pii.MIN_SEEDS, pii.MIN_CONFIDENCE, pii.Z)
+    scanned = pii.scan(docs_of(spark, list(enumerate(texts))))
+    rows = scanned.select("row", pii.F.explode("mentions").alias("m")).select("row", "m.*")
+    got = {(r["pattern"], r["kind"]): r["trust"] for r in pii.trusted_patterns(rows, pii.MIN_SEEDS, pii.MIN_CONFIDENCE, pii.Z).collect() if r["kind"] == "phone"}
+    assert got == pytest.approx(want) and len(want) >= 2
+    more = {r["doc_id"]: r["more"] for r in pii.find_pii(docs_of(spark, list(enumerate(texts)))).collect()}
+    for i, (patterns, _, digits, seed) in enumerate(mentions):
+        hit = not seed and any((p, "phone") in want for p in patterns)
+        assert bool(more[i]) == hit, texts[i]
+
+
+def test_pii_of_a_text_with_very_many_matches(spark):
+    text = " ".join(f"a{i}@b.org {i} +1 555 {i:07d}" for i in range(3000))
+    got = pii.scan(docs_of(spark, [(1, text)])).select(pii._joined(pii.F.concat(*[pii._kinded(k) for k in pii.KINDS])).alias("s")).first()["s"]
+    assert got == base_pii(text)
+
+
 def test_jaccard(spark, nasty):
     got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.components(nasty).collect())
     n = 396
@@ -346,6 +415,19 @@ def test_jaccard_against_brute_force(spark, cap, block, frequent, monkeypatch):
     assert got == {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, comp))}
 
 
+def test_prefix_tree_against_all_pairs():
+    rng = np.random.default_rng(5)
+    for percent in (50, 80, 100):
+        base = [np.unique(rng.integers(0, 3000, rng.integers(1, 700))) for _ in range(12)]
+        sets = [np.unique(np.r_[b[rng.random(len(b)) < rng.choice([0.85, 0.95, 1.0])], b[:1]]).astype(np.uint64) for b in base for _ in range(15)]
+        sets.sort(key=lambda s: s.astype(">u8").tobytes())
+        tree = PrefixTree(sets)
+        for own in sets[::7]:
+            want = [i for i, s in enumerate(sets) if 100 * len(np.intersect1d(own, s)) >= percent * len(np.union1d(own, s))]
+            assert sorted(tree.similar(own, percent)) == want
+    assert list(PrefixTree([]).similar(np.zeros(1, np.uint64), 80)) == []
+
+
 def test_stages_tell_documents_apart_by_text(spark):
     texts = [" ".join(f"t{i}x{k}" for k in range(40)) for i in range(6)]
     near = texts[0].replace("t0x39", "edit")
