@@ -2,11 +2,13 @@
 
 1. Voters. A short general lexicon gives word voters. Words and word beginnings (4 to 7 letters) that
    favour toxic rows in the labelled training rows give pattern voters. Each votes "toxic" where it
-   occurs and abstains elsewhere. The labels serve to pick voters and to measure them.
+   occurs and abstains elsewhere. The labels only serve to pick voters.
 2. Label model. The votes on the training rows are explained by a hidden label: each voter has its own
-   accuracy, found by expectation maximisation from its measured one. Voters that fire together
-   among likely toxic rows are correlated, so each one's evidence is divided by the sum of its
-   correlations, and the posterior of a row counts a repeated signal once.
+   accuracy, estimated from the votes alone by expectation maximisation, all from one start: a voter that others join
+   is right more often than one that stands alone, as a single vote leaves a row below its voter's accuracy.
+   Correlations among likely toxic rows are estimated beside; voters joined by a strong one (``DEPENDENT``)
+   depend on each other, so each one's evidence is divided by the sum of those correlations and the posterior
+   counts a repeated signal once.
 3. A linear (logistic) classifier of the same kind of features learns the posterior labels and scores
    every whole text.
 
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tessera.llm.common import table, written
+from tessera.llm.common import checked, table, written
 
 #: Lexicon voters: common insults.
 LEXICON = ["idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "clown", "imbecile", "dumb", "jerk", "bastard"]
@@ -43,6 +45,9 @@ MAX_VOTERS = 400
 MAX_FEATURES = 20000
 MIN_PRECISION, MAX_NOISE = 0.87, 0.03
 FOLDS = 5
+#: The label model: share of toxic rows before any vote; accuracy where the search begins for all voters, and its weight
+#: beside the votes (votes that no independent voter joins say little); correlation from which voters depend on each other.
+PRIOR, START, LEAN, DEPENDENT = 0.4, MIN_PRECISION, 0.5, 0.8
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -78,7 +83,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_P
     for toxic, n in sizes.items():
         share = F.when(F.col("toxic") == toxic, min(1.0, max_per_class / n)).otherwise(share)
     sample = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(checked(sample), "doc_id")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,44 +125,45 @@ def induced(rows: DataFrame, max_features: int = MAX_FEATURES, min_rows: int = 3
 
 
 class LabelModel:
-    """Posterior of a hidden binary label, given voters that vote "toxic" or abstain.
+    """Posterior of a hidden binary label, given voters that vote "toxic" or abstain; no label is used.
 
-    ``accuracy[j]`` is the chance that a row for which voter j fires is toxic; rows for which none
+    A voter that fires is right with its ``accuracy``, whatever the label abstains from; rows for which none
     fires get one vote for "clean" of accuracy ``clean``. Both are found by expectation maximisation.
     """
 
-    def __init__(self, prior: float = 0.2, rounds: int = 25):
-        self.prior, self.rounds = prior, rounds
+    def __init__(self, prior: float = PRIOR, start: float = START, rounds: int = 50):
+        self.prior, self.start, self.rounds = prior, start, rounds
 
-    def fit(self, votes: np.ndarray, measured: np.ndarray) -> np.ndarray:
-        """``measured``: the voters' accuracies on labelled rows, where the search begins and leans to."""
+    def fit(self, votes: np.ndarray) -> np.ndarray:
         fired = votes.sum(0)
         silent = votes.sum(1) == 0
-        self.accuracy, self.clean = measured.clip(0.5, 0.98), 0.9
+        self.accuracy, self.clean = np.full(votes.shape[1], self.start), 0.9
         self.weight = np.ones(votes.shape[1])
         for _ in range(self.rounds):
+            self.weight = 1 / self._dependence(votes, self.posterior(votes))
             posterior = self.posterior(votes)
-            self.weight = 1 / self._correlations(votes, posterior)
-            posterior = self.posterior(votes)
-            self.accuracy = ((posterior @ votes + measured * (fired + 1)) / (2 * fired + 1)).clip(0.5, 0.98)  # a voter is not worse than chance
+            accuracy = ((posterior @ votes + self.start * (LEAN * fired + 1)) / ((1 + LEAN) * fired + 1)).clip(0.05, 0.98)
             self.clean = float(np.clip(1 - posterior[silent].mean() if silent.any() else 0.9, 0.5, 0.98))
+            moved, self.accuracy = np.abs(accuracy - self.accuracy).max(initial=0), accuracy
+            if moved < 1e-4:
+                break
         return self.posterior(votes)
 
     @staticmethod
-    def _correlations(votes: np.ndarray, posterior: np.ndarray) -> np.ndarray:
-        """By voter, the sum of its strong correlations with all voters (1 with itself) among likely toxic rows.
+    def _dependence(votes: np.ndarray, posterior: np.ndarray) -> np.ndarray:
+        """By voter, the sum of its correlations with the voters it depends on (1 with itself), among likely toxic rows.
 
-        Weaker ones are left out: voters of one language always fire together more than chance.
+        Voters of one language always fire together more than chance; that is no dependence.
         """
         mean = posterior @ votes / max(posterior.sum(), 1e-9)
         centred = (votes - mean) * np.sqrt(posterior)[:, None]
         cov = centred.T @ centred
         scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
         corr = cov / scale[:, None] / scale[None, :]
-        return np.where(corr > 0.8, corr, 0).clip(0, 1).sum(1).clip(1)
+        return np.where(corr > DEPENDENT, corr, 0).clip(0, 1).sum(1).clip(1)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        odds = np.log(self.prior / (1 - self.prior)) + votes @ (self.weight * (np.log(self.accuracy / (1 - self.accuracy)) - np.log(self.prior / (1 - self.prior))))
+        odds = np.log(self.prior / (1 - self.prior)) + votes @ (self.weight * np.log(self.accuracy / (1 - self.accuracy)))
         odds = odds - (votes.sum(1) == 0) * np.log(self.clean / (1 - self.clean))
         return 1 / (1 + np.exp(-odds.clip(-60, 60)))
 
@@ -205,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
     cast = column[feature] >= 0
     votes = np.zeros((len(own), len(voters)), np.float32)
     votes[owner[cast], column[feature[cast]]] = 1
-    posterior = LabelModel().fit(votes, np.array([measured.get(f, 0.9) for f in voters]))
+    posterior = LabelModel().fit(votes)
     w, b = fit_linear(feature, owner, posterior, len(names))
     return {f: float(w[i]) for f, i in number.items() if w[i]}, b
 

@@ -248,6 +248,24 @@ def test_toxicity(spark, nasty):
     assert toxicity.accepted(empty(docs), marks).count() == 0 and toxicity.accepted(nasty, empty(marks)).count() == nasty.count()
 
 
+def test_label_model_estimates_accuracies_and_dependence_from_votes():
+    rng = np.random.default_rng(21)
+    truth = rng.random(6000) < 0.3
+    good = [np.where(truth, rng.random(6000) < 0.4, rng.random(6000) < 0.004) for _ in range(8)]
+    poor = [np.where(truth, rng.random(6000) < 0.02, rng.random(6000) < 0.05) for _ in range(3)]
+    copies = [good[0].copy() for _ in range(4)]
+    votes = np.array([*good, *poor, *copies]).T.astype(np.float32)
+    model = toxicity.LabelModel()
+    posterior = model.fit(votes)
+    real = np.array([truth[v > 0].mean() for v in votes.T])
+    assert np.abs(model.accuracy[:8] - real[:8]).max() < 0.06
+    assert model.accuracy[8:11].max() < 0.87 < model.accuracy[:8].min()  # agreement tells them apart
+    assert np.allclose(model.weight[[0, 11, 12, 13, 14]], 0.2, atol=0.02) and np.allclose(model.weight[1:8], 1)
+    # a vote that stands alone keeps much of the start: votes cannot show it wrong
+    alone = votes[:, 8:11].any(1) & ~votes[:, :8].any(1)
+    assert ((posterior >= 0.5) == truth)[~alone].mean() > 0.97 and posterior[alone].mean() < posterior[votes[:, :8].sum(1) > 1].min()
+
+
 def base_pii(text):
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
