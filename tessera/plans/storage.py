@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: list[tuple[SparkSession, str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, which driver and executors share.
@@ -30,7 +33,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; removed when the driver ends, if not before."""
+    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    _OWN.append((spark, path))
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path with the file system that Spark uses for it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _OWN:
+        try:
+            remove(spark, path)
+        except Exception:  # the JVM may have ended first; the folder's owner clears it then
+            return
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
