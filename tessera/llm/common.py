@@ -2,36 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIRS: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (tests in local mode) is a temporary folder made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; removed when the driver ends."""
-    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    _OWN_DIRS.append((spark, path))
-    return path
+from tessera.plans.storage import new_path, remove
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -65,22 +39,6 @@ def checked(df: DataFrame, rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path with the file system that Spark uses for it."""
-    jvm, target = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    del jvm
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _OWN_DIRS:
-        try:
-            remove(spark, path)
-        except Exception:  # the JVM may have ended first; the folder's owner clears it then
-            return
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -111,7 +111,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(32)).astype("<u4")
 
 
-WORDS = Symbols(step=4, length=51, gram=8, across=True)
+WORDS = Symbols(step=4, length=51, gram=4, across=True)
 
 EXCERPT = "anchor long, large boolean, cls string, pos int, left int, bytes binary"
 COVER = "cls string, s long, e long"
@@ -374,9 +374,10 @@ def _texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def repeated_runs(keyed: DataFrame, classes: DataFrame, symbols: Symbols, batch_size: int = BATCH, max_group: int = MAX_GROUP) -> DataFrame:
     """Written (cls, runs): the maximal runs (s, e) of symbols in repeated strings, of the classes that have any."""
     found = all_anchors(keyed.where(F.octet_length("text") >= symbols.length), symbols)
-    once = found.groupBy("cls", "anchor", "pos").agg(F.lit(1).alias("one"))
-    shared = once.groupBy("anchor").agg(F.count("one").alias("n"), F.min(F.xxhash64("cls")).alias("lo"), F.max(F.xxhash64("cls")).alias("hi"))
-    twice = written(shared.where("lo <> hi" if symbols.across else "n > 1").select("anchor", "n"), "repeated-anchors")
+    # an anchor of one place is no repeat, however many copies of its text there are; n counts the copies too
+    whose = F.xxhash64("cls")
+    shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min(whose).alias("lo"), F.max(whose).alias("hi"), F.min("pos").alias("p0"), F.max("pos").alias("p1"))
+    twice = written(shared.where("lo <> hi" if symbols.across else "lo <> hi or p0 <> p1").select("anchor", "n"), "repeated-anchors")
     places = found.join(twice, "anchor").groupBy("cls").agg(F.collect_set(F.struct("anchor", "pos", "first", "last", "n")).alias("at"))
     wanted = places.join(classes.select("cls", "rep"), "cls")
     k, w = keyed.alias("k"), wanted.alias("w")
@@ -402,9 +403,9 @@ def repeated_runs(keyed: DataFrame, classes: DataFrame, symbols: Symbols, batch_
     return per_class
 
 
-def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_size: int = BATCH, max_group: int = MAX_GROUP) -> DataFrame:
+def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_size: int = BATCH, max_group: int = MAX_GROUP, texts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Per class of equal texts: cls, copies, n_bytes, and runs, the array of (start, end) to remove."""
-    keyed, classes = _texts(docs)
+    keyed, classes = texts or _texts(docs)
     per_class = repeated_runs(keyed, classes, Symbols(1, length, gram), batch_size, max_group)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("n_bytes").alias("e")))
     none = F.array().cast("array<struct<s:bigint,e:bigint>>")
@@ -412,12 +413,12 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_size
     return classes.join(per_class, "cls", "left").select("cls", "rep", "copies", "n_bytes", runs_of.alias("runs"))
 
 
-def passages(docs: DataFrame, symbols: Symbols = WORDS, batch_size: int = BATCH, max_group: int = MAX_GROUP) -> DataFrame:
+def passages(docs: DataFrame, symbols: Symbols = WORDS, batch_size: int = BATCH, max_group: int = MAX_GROUP, texts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Per class of equal texts that holds any: cls, and n_passage_words, the words in passages of ``symbols.length`` or more words that another document holds too.
 
     Words are what stands between white space. All words of a text of that length with an exact copy count.
     """
-    keyed, classes = _texts(docs)
+    keyed, classes = texts or _texts(docs)
     per_class = repeated_runs(keyed, classes, symbols, batch_size, max_group)
     copied = keyed.join(classes.where("copies > 1").select("cls", "rep"), "cls").where(F.col("doc_id").eqNullSafe(F.col("rep")))
     n_words = F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
@@ -444,8 +445,9 @@ def kept_texts(rows: DataFrame) -> DataFrame:
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = written(removals(docs), "removals")
-    shared = written(passages(docs), "passages")
+    texts = _texts(docs)
+    found = written(removals(docs, texts=texts), "removals")
+    shared = written(passages(docs, texts=texts), "passages")
     text = F.coalesce(F.col("text"), F.lit(""))
     own = docs.select("doc_id", text.alias("text"), F.md5(text).alias("key"))
     n = F.aggregate("runs", F.lit(0).cast("long"), lambda acc, r: acc + r["e"] - r["s"])
