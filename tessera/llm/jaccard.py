@@ -456,6 +456,27 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"))
 
 
+OP8_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT r, md5_number(x) AS h FROM (
+    SELECT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' ')) END) AS x FROM d)
+), k AS MATERIALIZED (SELECT r, count(*) AS n, md5(string_agg(CAST(h AS VARCHAR), ',' ORDER BY h)) AS cls FROM s GROUP BY r),
+c AS MATERIALIZED (SELECT cls, min(r) AS r, min(n) AS n FROM k GROUP BY cls),
+cs AS MATERIALIZED (SELECT c.r, s.h, c.n FROM c JOIN s ON s.r = c.r),
+p AS MATERIALIZED (SELECT x.r AS a, y.r AS b, x.n AS na, y.n AS nb, count(*) AS m FROM cs x JOIN cs y ON x.h = y.h AND x.r < y.r GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * m >= {PERCENT} * (na + nb - m)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT r AS a, r AS b FROM c UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+least AS (SELECT reach.a AS r, min(d.doc_id) AS component_id FROM reach JOIN c ON c.r = reach.b JOIN k ON k.cls = c.cls JOIN d ON d.r = k.r GROUP BY reach.a)
+SELECT d.doc_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_shingles, CASE WHEN k.n IS NULL THEN d.doc_id ELSE least.component_id END AS component_id
+FROM d LEFT JOIN k ON k.r = d.r LEFT JOIN c ON c.cls = k.cls LEFT JOIN least ON least.r = c.r
+"""
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component, that of the least doc_id, then text digest.
 

@@ -20,5 +20,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_url_filter": url_filter.OP1_SQL,
     "op3_warc": warc.OP3_SQL,
+    "op8_jaccard": jaccard.OP8_SQL,
     "op9_chat": chat.OP9_SQL,
+    "op10_suffix_dedup": suffix_dedup.OP10_SQL,
 }

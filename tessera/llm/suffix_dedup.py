@@ -111,9 +111,9 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(32)).astype("<u4")
 
 
-WORDS = Symbols(step=4, length=51, gram=4, across=True)
+WORDS = Symbols(step=4, length=51, gram=8, across=True)
 
-EXCERPT = "anchor long, large boolean, cls string, pos int, left int, bytes binary"
+EXCERPT = "anchor long, cls string, pos int, left int, bytes binary"
 COVER = "cls string, s long, e long"
 
 
@@ -190,10 +190,10 @@ def all_anchors(keyed: DataFrame, symbols: Symbols) -> DataFrame:
     return written(keyed.select("cls", "text").mapInArrow(run, ANCHOR), "anchors")
 
 
-def excerpts(reps: DataFrame, symbols: Symbols, max_group: int) -> DataFrame:
-    """EXCERPT rows of (cls, text, at: array of (anchor, pos, first, last, n))."""
+def excerpts(reps: DataFrame, symbols: Symbols) -> DataFrame:
+    """EXCERPT rows of (cls, text, at: array of (anchor, pos, first, last, ..))."""
     names = [x.split()[0] for x in EXCERPT.split(", ")]
-    kinds = [pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,14 +202,14 @@ def excerpts(reps: DataFrame, symbols: Symbols, max_group: int) -> DataFrame:
                 data = symbols.of(text)
                 for x in at:
                     part = data[x["first"] * symbols.step : (x["last"] + symbols.length) * symbols.step]
-                    out.append((x["anchor"], x["n"] > max_group, cls, x["pos"], x["pos"] - x["first"], part.tobytes()))
+                    out.append((x["anchor"], cls, x["pos"], x["pos"] - x["first"], part.tobytes()))
                     if len(out) >= 5000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
                         out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    return reps.mapInArrow(run, EXCERPT)
+    return reps.where(F.size("at") > 0).select("cls", "text", "at").mapInArrow(run, EXCERPT)
 
 
 def repeated_starts(group: np.ndarray, left: np.ndarray, data: list[bytes], length: int = LENGTH, step: int = 1, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -383,11 +383,10 @@ def repeated_runs(keyed: DataFrame, classes: DataFrame, symbols: Symbols, batch_
     k, w = keyed.alias("k"), wanted.alias("w")
     same = (F.col("k.cls") == F.col("w.cls")) & F.col("k.doc_id").eqNullSafe(F.col("w.rep"))
     reps = k.join(w, same).select("k.cls", "k.text", "w.at")
-    cut = excerpts(reps, symbols, max_group)
-    dealt = cut.where("not large").repartition("anchor").sortWithinPartitions("anchor")
-    starts = repeated(dealt, symbols, batch_size)
+    of = lambda most: reps.withColumn("at", F.filter("at", lambda x: (x["n"] <= max_group) == most))
+    starts = repeated(excerpts(of(True), symbols).repartition("anchor").sortWithinPartitions("anchor"), symbols, batch_size)
     if not twice.where(F.col("n") > max_group).isEmpty():
-        starts = starts.union(counted(cut.where("large"), symbols))
+        starts = starts.union(counted(written(excerpts(of(False), symbols), "large-excerpts"), symbols))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
@@ -460,3 +459,25 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = own.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text"), 256).alias("whole"))
     kept = F.when(F.col("n_removed") == 0, F.col("whole")).otherwise(F.coalesce("sha", F.sha2(F.lit(""), 256)))
     return rows.join(named, F.col("key") == F.col("cls")).select("doc_id", "n_bytes", "n_removed", "n_spans", kept.alias("kept_sha256"), F.coalesce("n_passage_words", F.lit(0)).cast("long").alias("n_passage_words"))
+
+
+OP10_SQL = f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS x, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda y: y <> '') AS w FROM documents
+), st AS MATERIALIZED (
+  SELECT r, i, md5_number(x[i + 1:i + {LENGTH}]) AS h FROM (SELECT r, x, unnest(range(0, octet_length(x) - {LENGTH - 1})) AS i FROM d WHERE octet_length(x) >= {LENGTH})
+), twice AS (SELECT h FROM st GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + {LENGTH} THEN 0 ELSE 1 END AS first FROM st WHERE h IN (SELECT h FROM twice)),
+runs AS MATERIALIZED (SELECT r, g, min(i) AS s, max(i) + {LENGTH} AS e FROM (SELECT r, i, sum(first) OVER (PARTITION BY r ORDER BY i) AS g FROM hit) GROUP BY r, g),
+cuts AS (SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS was FROM runs UNION ALL SELECT d.r, octet_length(x), NULL, coalesce((SELECT max(e) FROM runs WHERE runs.r = d.r), 0) FROM d),
+kept AS (SELECT cuts.r, sha256(unhex(string_agg(hex(x[was + 1:s]), '' ORDER BY s, was))) AS sha FROM cuts JOIN d ON d.r = cuts.r GROUP BY cuts.r),
+gone AS (SELECT r, sum(e - s) AS n, count(*) AS m FROM runs GROUP BY r),
+wt AS MATERIALIZED (
+  SELECT r, i, md5_number(array_to_string(w[i + 1:i + {WORDS.length}], ' ')) AS h FROM (SELECT r, w, unnest(range(0, len(w) - {WORDS.length - 1})) AS i FROM d WHERE len(w) >= {WORDS.length})
+), shared AS (SELECT h FROM wt GROUP BY h HAVING min(r) <> max(r)),
+whit AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + {WORDS.length} THEN 0 ELSE 1 END AS first FROM wt WHERE h IN (SELECT h FROM shared)),
+wruns AS (SELECT r, g, max(i) + {WORDS.length} - min(i) AS n FROM (SELECT r, i, sum(first) OVER (PARTITION BY r ORDER BY i) AS g FROM whit) GROUP BY r, g),
+words AS (SELECT r, sum(n) AS n FROM wruns GROUP BY r)
+SELECT d.doc_id, CAST(octet_length(x) AS BIGINT) AS n_bytes, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(gone.m, 0) AS BIGINT) AS n_spans, kept.sha AS kept_sha256, CAST(coalesce(words.n, 0) AS BIGINT) AS n_passage_words
+FROM d JOIN kept ON kept.r = d.r LEFT JOIN gone ON gone.r = d.r LEFT JOIN words ON words.r = d.r
+"""
