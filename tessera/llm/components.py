@@ -25,16 +25,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every node hangs on one least node, which hangs on none; then a further step changes nothing."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, comp) of every node with an edge (a, b); comp is the component's least node. Edges: longs, not null."""
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
-    mark = None
-    while True:
-        new = written(_small_star(_large_star(now)), "cc")
-        seen = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        now = new
-        if seen == mark:
-            break
-        mark = seen
+    while not _is_star_forest(now):
+        now = written(_small_star(_large_star(now)), "cc")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     return stars.union(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, table, written
+from tessera.llm.common import checked, discard, table, written
 
 LENGTH = 400
 GRAM = 32
@@ -378,15 +378,23 @@ def repeated_runs(keyed: DataFrame, classes: DataFrame, symbols: Symbols, batch_
     whose = F.xxhash64("cls")
     shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min(whose).alias("lo"), F.max(whose).alias("hi"), F.min("pos").alias("p0"), F.max("pos").alias("p1"))
     twice = written(shared.where("lo <> hi" if symbols.across else "lo <> hi or p0 <> p1").select("anchor", "n"), "repeated-anchors")
-    places = found.join(twice, "anchor").groupBy("cls").agg(F.collect_set(F.struct("anchor", "pos", "first", "last", "n")).alias("at"))
+    several = twice.where(F.col("n") > max_group).select("anchor")
+    crowded = not several.isEmpty()
+    marked = twice.select("anchor", F.lit(False).alias("large"))
+    if crowded:  # then the copies are told from the places
+        one_place = found.join(checked(several), "anchor", "left_semi").groupBy("cls", "anchor", "pos").agg(F.lit(1).alias("one"))
+        large = checked(one_place.groupBy("anchor").agg(F.count("one").alias("n")).where(F.col("n") > max_group).select("anchor", F.lit(True).alias("large")))
+        marked = twice.select("anchor").join(large, "anchor", "left").select("anchor", F.coalesce("large", F.lit(False)).alias("large"))
+        crowded = not large.isEmpty()
+    places = found.join(marked, "anchor").groupBy("cls").agg(F.collect_set(F.struct("anchor", "pos", "first", "last", "large")).alias("at"))
     wanted = places.join(classes.select("cls", "rep"), "cls")
     k, w = keyed.alias("k"), wanted.alias("w")
     same = (F.col("k.cls") == F.col("w.cls")) & F.col("k.doc_id").eqNullSafe(F.col("w.rep"))
     reps = k.join(w, same).select("k.cls", "k.text", "w.at")
-    of = lambda most: reps.withColumn("at", F.filter("at", lambda x: (x["n"] <= max_group) == most))
-    starts = repeated(excerpts(of(True), symbols).repartition("anchor").sortWithinPartitions("anchor"), symbols, batch_size)
-    if not twice.where(F.col("n") > max_group).isEmpty():
-        starts = starts.union(counted(written(excerpts(of(False), symbols), "large-excerpts"), symbols))
+    of = lambda large: reps.withColumn("at", F.filter("at", lambda x: x["large"] == large)) if crowded else reps
+    starts = repeated(excerpts(of(False), symbols).repartition("anchor").sortWithinPartitions("anchor"), symbols, batch_size)
+    if crowded:
+        starts = starts.union(counted(written(excerpts(of(True), symbols), "large-excerpts"), symbols))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))

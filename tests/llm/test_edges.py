@@ -13,6 +13,7 @@ import pytest
 
 from tessera.llm import ann, chat, decontaminate, jaccard, packing, pii, suffix_dedup, toxicity, url_filter, warc
 from tessera.llm.common import new_path
+from tessera.llm.components import connected
 from tessera.llm.trie import PrefixTree
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -433,6 +434,20 @@ def test_jaccard_against_brute_force(spark, cap, block, frequent, monkeypatch):
     assert got == {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, comp))}
 
 
+def test_components_of_random_graphs_chains_and_stars(spark):
+    rng = np.random.default_rng(3)
+    chain = [(i, i + 1) for i in range(40)]
+    pairs = [*chain, *((1000, 1000 + i) for i in range(1, 60)), *(tuple(int(x) for x in rng.integers(2000, 2300, 2)) for _ in range(200)), (5000, 5000), (6001, 6000)]
+    real = [(a, b) for a, b in pairs if a != b]  # a loop names no component
+    least = {n: n for p in real for n in p}
+    for _ in range(400):
+        for a, b in real:
+            least[a] = least[b] = min(least[a], least[b])
+    got = {r["node"]: r["comp"] for r in connected(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == least
+    assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_prefix_tree_against_all_pairs():
     rng = np.random.default_rng(5)
     for percent in (50, 80, 100):
