@@ -54,8 +54,15 @@ def _clean() -> None:
             return
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder, so that later reads take only the columns they need."""
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder, so that later reads take only the columns they need.
+
+    Plans on it start from the files' size; a checkpoint keeps the estimates of all plans before it, which multiply in loops.
+    Shuffle files behind the table go once the driver's garbage collector has run, so it is asked to.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.options(**options).parquet(path)
+    df.sparkSession._jvm.System.gc()
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out

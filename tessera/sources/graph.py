@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.arrays import ranked
+from tessera.functions.packing import block_of, bounded, buffered, dealt, expand, grouped, unpack
 from tessera.plans.storage import stored
 
 #: Fixed widths of the raw files: row pointers, column indices, vertex lists and part maps.
@@ -49,13 +52,64 @@ def copurchase(spark: SparkSession, sf_dir: str) -> Graph:
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     part = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("label"))
-    lines = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
+    lines = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("o"), F.col("l_partkey").cast("long").alias("p"))
     if key not in _STORED:
-        pairs = lines.alias("a").join(lines.alias("b"), F.col("a.o") == F.col("b.o")).where("a.p <> b.p")
-        _STORED[key] = stored(pairs.select(F.col("a.p").alias("src"), F.col("b.p").alias("dst")).distinct(), "graph")
+        _STORED[key] = stored(joined_in_groups(lines.where("o is not null and p is not null")), "graph", **DELTA)
     return Graph(part, _STORED[key])
 
 
+#: Sorted longs are stored as differences.
+DELTA = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"}
+#: Pairs made at a time, and blocks of vertices whose edges are made distinct together.
+AT_ONCE, BLOCKS = 1 << 21, 1 << 10
+
+
+def joined_in_groups(lines: DataFrame) -> DataFrame:
+    """edges(src, dst): distinct p, in both directions, that share an o in lines(o, p); sorted within blocks of src.
+
+    Lines are shuffled once; pairs travel as packed blocks. An order of k parts makes k * k edges, so its k parts fit a task where its edges do.
+    """
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list = []  # an order may go on in the next batch
+        for o, p in itertools.chain(buffered(batches, 1 << 18), [(None, None)]):
+            if o is None:
+                done, rest = rest, []
+            else:
+                cut = int(np.searchsorted(o, o[-1]))
+                done, rest = (rest + [(o[:cut], p[:cut])], [(o[cut:], p[cut:])]) if cut or (rest and rest[-1][0][-1] != o[0]) else ([], rest + [(o, p)])
+            if done:
+                yield from packed(*(np.concatenate(c) for c in zip(*done)))
+
+    def packed(o, p):
+        new = np.r_[True, (o[1:] != o[:-1]) | (p[1:] != p[:-1])][: len(o)]
+        o, p = o[new], p[new]
+        first = np.flatnonzero(np.r_[True, o[1:] != o[:-1]][: len(o)])
+        size = np.diff(np.r_[first, len(o)])
+        start, length = np.repeat(first, size), np.repeat(size, size)
+        for part in bounded(length, AT_ONCE):
+            of, at = expand(length[part])
+            src, dst = p[part][of], p[start[part][of] + at]
+            kept = src != dst
+            yield from blocks(src[kept], dst[kept])
+
+    def blocks(src, dst):
+        rows = list(dealt(block_of(src, BLOCKS), src, dst))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["block", "src", "dst"])
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in grouped(batches, 1):
+            src, dst = (np.concatenate([unpack(r[c]) for r in rows]) for c in (1, 2))
+            order = np.lexsort((dst, src))
+            src, dst = src[order], dst[order]
+            new = np.r_[True, (src[1:] != src[:-1]) | (dst[1:] != dst[:-1])]
+            yield pa.RecordBatch.from_arrays([pa.array(src[new]), pa.array(dst[new])], ["src", "dst"])
+
+    made = lines.repartition("o").sortWithinPartitions("o", "p").mapInArrow(pairs, "block int, src binary, dst binary")
+    return made.repartition("block").sortWithinPartitions("block").mapInArrow(distinct, "src long, dst long")
+
+
 def from_edges(spark: SparkSession, pairs: list[tuple[int, int]], n: int | None = None) -> Graph:
     """A graph of stated directed edges on vertices 0..n-1, all of label 0."""
     n = n if n is not None else 1 + max((max(p) for p in pairs), default=-1)
