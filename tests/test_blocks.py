@@ -74,3 +74,16 @@ def test_graph_of_groups(spark):
     got = [tuple(r) for r in S.joined_in_groups(lines).collect()]
     assert len(got) == len(want) and set(got) == want
     assert S.joined_in_groups(lines.where("false")).collect() == []
+
+
+def test_counts_of_edges(spark, dense, monkeypatch):
+    pairs, edges = dense
+    dag, want = G.orient(edges), {e: len(ws) for e, ws in brute(pairs).items()}
+    got, size = shuffled(spark, lambda: G.common_out_neighbours(dag).collect())
+    assert len(got) == len(want) and {(r["src"], r["dst"]): r["cnt"] for r in got} == want
+    assert size < 100 * len(pairs)
+    monkeypatch.setattr(blocks, "HELD", 5000)  # several vertex blocks
+    assert {(r["src"], r["dst"]): r["cnt"] for r in G.common_out_neighbours(dag).collect()} == want
+    hub = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(1, 2999)]
+    rows = G.common_out_neighbours(G.orient(S.from_edges(spark, both(hub)).edges))
+    assert tuple(rows.agg(F.count("*"), F.sum("cnt")).first()) == (len(hub), 2998)
