@@ -180,13 +180,23 @@ def triangle_types(edges: DataFrame, parts: int) -> DataFrame:
     return found.agg(F.sum("type1").alias("type1"), F.sum("type3").alias("type3")).select("type1", "type3", F.coalesce(F.col("type1") + F.col("type3"), F.lit(0)).cast("long").alias("total"))
 
 
-def push_pull(dag: DataFrame, parts: int) -> DataFrame:
-    """(src, dst, cls): local if in one part, push if src has the smaller out-degree, else pull."""
+def push_pull(dag: DataFrame, parts: int, edges: DataFrame | None = None) -> DataFrame:
+    """(src, dst, cls), or these edges of the dag with it: local if in one part, push if src has the smaller out-degree, else pull."""
     d = degrees(dag)
     x, y = d.select(F.col("id").alias("src"), F.col("degree").alias("ds")), d.select(F.col("id").alias("dst"), F.col("degree").alias("dd"))
-    rows = dag.join(x, "src").join(y, "dst", "left")
+    if edges is None:
+        edges = dag.select("src", "dst")
+    elif d.count() <= MAX_VERTICES:
+        x, y = F.broadcast(x), F.broadcast(y)
+    rows = edges.join(x, "src").join(y, "dst", "left")
     local = F.pmod("src", F.lit(parts)) == F.pmod("dst", F.lit(parts))
-    return rows.select("src", "dst", F.when(local, "local").when(F.col("ds") < F.coalesce("dd", F.lit(0)), "push").otherwise("pull").alias("cls"))
+    return rows.select(*edges.columns, F.when(local, "local").when(F.col("ds") < F.coalesce("dd", F.lit(0)), "push").otherwise("pull").alias("cls"))
+
+
+def push_pull_triangles(dag: DataFrame, parts: int) -> DataFrame:
+    """(cls, triangles): triangles by the class of their first edge, of the classes that have any."""
+    found = blocks.triangles(dag, blocks.first_edges, "src long, dst long, cnt long")
+    return push_pull(dag, parts, found).groupBy("cls").agg(F.sum("cnt").alias("triangles"))
 
 
 def push_answer(dag: DataFrame, parts: int) -> DataFrame:

@@ -269,8 +269,7 @@ def triple_index(spark, d):
 @graph_query("triangle_push_pull", "SELECT CASE WHEN x.src % 4 = x.dst % 4 THEN 'local' WHEN s.d < coalesce(t.d, 0) THEN 'push' ELSE 'pull' END cls, count(*) triangles FROM dag x JOIN dag y ON y.src = x.dst JOIN dag z ON z.src = x.src AND z.dst = y.dst JOIN od s ON s.id = x.src LEFT JOIN od t ON t.id = x.dst GROUP BY 1")
 def triangle_push_pull(g):
     """Triangles by how their first edge is exchanged; the total over classes (and ranks) is the count."""
-    dag = G.orient(g.edges)
-    return G.push_pull(dag, PARTS).join(G.common_out_neighbours(dag), ["src", "dst"]).groupBy("cls").agg(F.sum("cnt").alias("triangles"))
+    return G.push_pull_triangles(G.orient(g.edges), PARTS)
 
 
 @graph_query("push_pull_classes", "SELECT CASE WHEN x.src % 4 = x.dst % 4 THEN 'local' WHEN s.d < coalesce(t.d, 0) THEN 'push' ELSE 'pull' END cls, count(*) n FROM dag x JOIN od s ON s.id = x.src LEFT JOIN od t ON t.id = x.dst GROUP BY 1")

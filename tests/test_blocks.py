@@ -87,3 +87,19 @@ def test_counts_of_edges(spark, dense, monkeypatch):
     hub = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(1, 2999)]
     rows = G.common_out_neighbours(G.orient(S.from_edges(spark, both(hub)).edges))
     assert tuple(rows.agg(F.count("*"), F.sum("cnt")).first()) == (len(hub), 2998)
+
+
+def test_classes_without_triangles_have_no_row(spark, dense):
+    square = S.from_edges(spark, both([(0, 1), (1, 2), (2, 3), (0, 3)])).edges
+    assert G.push_pull_triangles(G.orient(square), 4).collect() == []
+    pairs, edges = dense
+    want, found = {}, brute(pairs)
+    out = {}
+    for u, _ in found:
+        out[u] = out.get(u, 0) + 1
+    for (u, v), ws in found.items():
+        cls = "local" if u % 4 == v % 4 else "push" if out[u] < out.get(v, 0) else "pull"
+        want[cls] = want.get(cls, 0) + len(ws)
+    got, size = shuffled(spark, lambda: G.push_pull_triangles(G.orient(edges), 4).collect())
+    assert {r["cls"]: r["triangles"] for r in got} == {k: n for k, n in want.items() if n}
+    assert size < 100 * len(pairs)
