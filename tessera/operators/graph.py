@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.arrays import ranked, scan
 from tessera.operators import blocks
-from tessera.plans.storage import checkpointed
+from tessera.plans.storage import remove, stored
 
 #: Vertices up to which degrees and values go to all tasks.
 MAX_VERTICES = 1 << 21
@@ -210,21 +210,27 @@ def push_answer(dag: DataFrame, parts: int) -> DataFrame:
 def coreness(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, coreness): repeat c(v) = min(c(v), H-index of the neighbours' c) from the degrees until nothing changes.
 
-    The H-index comes from counts per value, so a hub's neighbours are never gathered in one row.
+    Up to MAX_VERTICES, the values go to all tasks in each round (see blocks). Beyond, they are joined, and the H-index comes
+    from counts per value, so a hub's neighbours are never gathered in one row; rounds start from tables, as estimates of checkpoints multiply.
     """
-    edges = checkpointed(edges.where("src <> dst").repartition("src"))
-    core = checkpointed(degrees(edges).select("id", F.col("degree").alias("c")))
-    while True:
-        seen = edges.join(core.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst").join(core.select(F.col("id").alias("src"), "c"), "src")
-        counts = seen.groupBy("src", "c", F.least("cd", "c").alias("k")).agg(F.count(F.lit(1)).alias("n"))
-        at_least = counts.withColumn("m", F.sum("n").over(Window.partitionBy("src").orderBy(F.desc("k"))))
-        # largest h with h neighbours of value h or more: between two values the count does not change
-        new = at_least.groupBy("src", "c").agg(F.max(F.least("k", "m")).alias("h"))
-        core, before = checkpointed(new.select(F.col("src").alias("id"), F.least("c", "h").alias("c"), (F.col("h") < F.col("c")).alias("changed"))), core
-        if core.where("changed").isEmpty():
-            break
-        core = core.drop("changed")
-        del before
+    edges = edges.where("src <> dst")
+    start = degrees(edges)
+    if start.count() <= MAX_VERTICES:
+        core = blocks.coreness(start, edges)
+    else:
+        edges = stored(edges.repartition("src").sortWithinPartitions("src", "dst"), "edges")
+        core, going = stored(start.select("id", F.col("degree").alias("c")), "core"), True
+        while going:
+            seen = edges.join(core.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst").join(core.select(F.col("id").alias("src"), "c"), "src")
+            counts = seen.groupBy("src", "c", F.least("cd", "c").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+            at_least = counts.withColumn("m", F.sum("n").over(Window.partitionBy("src").orderBy(F.desc("k"))))
+            # largest h with h neighbours of value h or more: between two values the count does not change
+            new = at_least.groupBy("src", "c").agg(F.max(F.least("k", "m")).alias("h"))
+            new = stored(new.select(F.col("src").alias("id"), F.least("c", "h").alias("c"), (F.col("h") < F.col("c")).alias("changed")), "core")
+            going = not new.where("changed").isEmpty()
+            remove(core.sparkSession, core._tessera_path)
+            core = new
+        remove(edges.sparkSession, edges._tessera_path)
     return vertices.select("id").join(core.select("id", "c"), "id", "left").select("id", F.coalesce("c", F.lit(0)).cast("long").alias("coreness"))
 
 

@@ -103,3 +103,41 @@ def test_classes_without_triangles_have_no_row(spark, dense):
     got, size = shuffled(spark, lambda: G.push_pull_triangles(G.orient(edges), 4).collect())
     assert {r["cls"]: r["triangles"] for r in got} == {k: n for k, n in want.items() if n}
     assert size < 100 * len(pairs)
+
+
+def peel(pairs):
+    nbrs = {}
+    for a, b in both(pairs):
+        nbrs.setdefault(a, set()).add(b)
+    degree, core, k = {v: len(n) for v, n in nbrs.items()}, {}, 0
+    while degree:
+        v = min(degree, key=degree.get)
+        k = max(k, degree.pop(v))
+        core[v] = k
+        for w in nbrs[v] & degree.keys():
+            degree[w] -= 1
+    return core
+
+
+SPARSE = [p for p in itertools.combinations(range(60), 2) if random.Random(str(p)).random() < 0.15]
+
+
+@pytest.mark.parametrize("held", [100, 1 << 20])
+def test_cores_in_few_jobs(spark, monkeypatch, held):
+    path, sc = [(i, i + 1) for i in range(60)], spark.sparkContext
+    monkeypatch.setattr(blocks, "HELD", held)
+    for pairs in (SPARSE, path):
+        g = S.from_edges(spark, both(pairs))
+        sc.setJobGroup(f"cores {held} {len(pairs)}", "")
+        assert {r["id"]: r["coreness"] for r in G.coreness(g.vertices, g.edges).collect() if r["coreness"]} == peel(pairs)
+        jobs = sc.statusTracker().getJobIdsForGroup(f"cores {held} {len(pairs)}")
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        assert held == 100 or len(jobs) < 30
+
+
+def test_cores_by_joins_keep_estimates_small(spark, monkeypatch):
+    monkeypatch.setattr(G, "MAX_VERTICES", 0)
+    g = S.from_edges(spark, both(SPARSE))
+    rows = G.coreness(g.vertices, g.edges)
+    assert {r["id"]: r["coreness"] for r in rows.collect() if r["coreness"]} == peel(SPARSE)
+    assert int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 1 << 40
