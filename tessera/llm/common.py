@@ -39,6 +39,22 @@ def checked(df: DataFrame, rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+#: Bits by which rows are sifted, 8 MB however many keys there are.
+SIFT = 1 << 26
+
+
+def sifted(rows: DataFrame, of: list, keys: DataFrame, by: list) -> DataFrame:
+    """``rows`` without most of those whose columns ``of`` equal no ``by`` of ``keys``, so that a join shuffles few others.
+
+    A bit stands for every hash of a key; all of them are sent to all tasks. ``keys`` should be written: it is read here too.
+    """
+    spot = lambda columns: F.pmod(F.xxhash64(*columns), F.lit(SIFT)) + 1
+    bits = keys.select(spot(by).alias("_k")).groupBy(F.bitmap_bucket_number("_k").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_k")).alias("_bits"))
+    known = rows.withColumn("_k", spot(of)).withColumn("_bucket", F.bitmap_bucket_number("_k")).join(F.broadcast(bits), "_bucket")
+    one = F.expr("conv(hex(substring(_bits, cast(bitmap_bit_position(_k) div 8 as int) + 1, 1)), 16, 10)").cast("int")
+    return known.where(one.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(_k) % 8 as int))")) != 0).select(*rows.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

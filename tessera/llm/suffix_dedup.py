@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checked, discard, table, written
+from tessera.llm.common import checked, discard, sifted, table, written
 
 LENGTH = 400
 GRAM = 32
@@ -387,8 +387,8 @@ def repeated_runs(keyed: DataFrame, classes: DataFrame, symbols: Symbols, batch_
         marked = twice.select("anchor").join(large, "anchor", "left").select("anchor", F.coalesce("large", F.lit(False)).alias("large"))
         crowded = not large.isEmpty()
     places = found.join(marked, "anchor").groupBy("cls").agg(F.collect_set(F.struct("anchor", "pos", "first", "last", "large")).alias("at"))
-    wanted = places.join(classes.select("cls", "rep"), "cls")
-    k, w = keyed.alias("k"), wanted.alias("w")
+    wanted = written(places.join(classes.select("cls", "rep"), "cls"), "wanted")
+    k, w = sifted(keyed, ["cls", "doc_id"], wanted, ["cls", "rep"]).alias("k"), wanted.alias("w")
     same = (F.col("k.cls") == F.col("w.cls")) & F.col("k.doc_id").eqNullSafe(F.col("w.rep"))
     reps = k.join(w, same).select("k.cls", "k.text", "w.at")
     of = lambda large: reps.withColumn("at", F.filter("at", lambda x: x["large"] == large)) if crowded else reps
@@ -403,7 +403,7 @@ def repeated_runs(keyed: DataFrame, classes: DataFrame, symbols: Symbols, batch_
             yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(out, kind)], names=["cls", "runs"])
 
     starts = written(starts, "covered")
-    discard(found, twice)
+    discard(found, twice, wanted)
     per_class = starts.groupBy("cls").agg(F.collect_set(F.struct("s", "e")).alias("some")).mapInArrow(runs, "cls string, runs array<struct<s:long,e:long>>")
     per_class = written(per_class, "runs")
     discard(starts)
@@ -427,7 +427,8 @@ def passages(docs: DataFrame, symbols: Symbols = WORDS, batch_size: int = BATCH,
     """
     keyed, classes = texts or _texts(docs)
     per_class = repeated_runs(keyed, classes, symbols, batch_size, max_group)
-    copied = keyed.join(classes.where("copies > 1").select("cls", "rep"), "cls").where(F.col("doc_id").eqNullSafe(F.col("rep")))
+    several = classes.where("copies > 1").select("cls", "rep")
+    copied = sifted(keyed, ["cls", "doc_id"], several, ["cls", "rep"]).join(several, "cls").where(F.col("doc_id").eqNullSafe(F.col("rep")))
     n_words = F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
     whole = copied.select("cls", n_words.cast("long").alias("n")).where(F.col("n") >= symbols.length)
     parts = per_class.select("cls", F.aggregate("runs", F.lit(0).cast("long"), lambda acc, r: acc + r["e"] - r["s"]).alias("n"))
@@ -460,7 +461,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.aggregate("runs", F.lit(0).cast("long"), lambda acc, r: acc + r["e"] - r["s"])
     # only texts of which a part stays are read beside their runs; one row for each text
     partly = found.where((F.size("runs") > 0) & (n < F.col("n_bytes"))).select("cls", "rep", "runs")
-    cut = own.join(partly, (F.col("key") == F.col("cls")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "text", "runs")
+    cut = sifted(own, ["key", F.col("doc_id").cast("long")], partly, ["cls", "rep"]).join(partly, (F.col("key") == F.col("cls")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "text", "runs")
     cut = kept_texts(cut).select("cls", F.sha2("kept", 256).alias("sha")).dropDuplicates(["cls"])
     named = found.select("cls", n.alias("n_removed"), F.size("runs").cast("long").alias("n_spans")).join(cut, "cls", "left")
     named = named.join(shared, "cls", "left")
