@@ -8,7 +8,8 @@ it is run where a repeat is possible, on aligned excerpts, which bounds the roun
 
 1. Anchors. Of every ``length`` consecutive bytes, the first k-gram of least hash is an anchor
    (winnowing), so equal strings of that length hold the same anchor at the same place. Anchors whose
-   hash occurs once cannot lie in a repeated string and are let go.
+   hash occurs once cannot lie in a repeated string and are let go, but for the few that the filter of
+   the others, which all tasks hold, does not tell from them.
 2. Excerpts. An anchor stands for the strings of ``length`` bytes whose first least k-gram it is; their
    starts are a range. Excerpts hold just these strings. Those of one anchor hash form a
    collection, aligned at the anchor; every string lies in one collection only.
@@ -25,7 +26,8 @@ unbounded collection. Tasks stream: sorted shuffle files are
 read in sequence, and a task holds ``BATCH`` excerpts or one collection.
 
 The symbols are bytes, or words by a 32-bit hash (``WORDS``): ``passages`` finds runs of more than 50
-words that also occur in another document.
+words that also occur in another document. Anchors of both are found in one pass, and texts that hold a
+repeated one of either are shuffled once.
 
 Edge cases: null and empty texts have no bytes; a string that overlaps its own copy counts; matches
 never cross rows; repeated rows are different documents; null doc_ids are rows like others; an empty
@@ -40,6 +42,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +54,8 @@ GRAM = 32
 BATCH, MAX_GROUP = 8_000, 50_000
 #: Symbols that are hashed, and bytes of texts that are worked on, at a time.
 BLOCK, TEXTS = 1 << 19, 1 << 21
+#: Bits, a power of two, of the largest filter by which repeated anchors are told from others, 64 MB that go to all tasks, and bits set for an anchor.
+MOST_BITS, HASHES = 1 << 29, 4
 #: Parts of the rows of one string in the join that marks repeated strings.
 SALTS = 32
 
@@ -166,12 +171,17 @@ def anchors(data: np.ndarray, bounds: np.ndarray, symbols: Symbols) -> list[np.n
     return [np.concatenate(c) for c in zip(*found)]
 
 
-ANCHOR = "cls string, anchor long, pos int, first int, last int"
+PLACE = pa.struct([("anchor", pa.int64()), ("pos", pa.int32()), ("first", pa.int32()), ("last", pa.int32())])
+PLACES = "array<struct<anchor:long,pos:int,first:int,last:int>>"
+MARKED = pa.struct([*PLACE, ("large", pa.bool_())])
 
 
-def all_anchors(keyed: DataFrame, symbols: Symbols) -> DataFrame:
-    """Written ANCHOR rows of all documents, worked out for ``TEXTS`` bytes of texts at a time."""
-    names = [x.split()[0] for x in ANCHOR.split(", ")]
+def all_anchors(keyed: DataFrame, kinds: list[Symbols]) -> DataFrame:
+    """Written rows of all documents that have an anchor: cls, doc_id, and for each of ``kinds`` n_0, .. symbols and at_0, .. places.
+
+    ``TEXTS`` bytes of texts are worked on at a time.
+    """
+    names = ["cls", "doc_id", *[f"{c}_{i}" for i in range(len(kinds)) for c in ("n", "at")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,13 +191,68 @@ def all_anchors(keyed: DataFrame, symbols: Symbols) -> DataFrame:
             a = 0
             while a < len(column):
                 b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + TEXTS, "right")) - 1)
-                data, bounds = symbols.of_all(whole[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                text, h, *rest = anchors(data, bounds, symbols)
-                if len(h):
-                    yield pa.RecordBatch.from_arrays([batch.column("cls").take(pa.array(text + a)), pa.array(h.astype(np.int64)), *[pa.array(c.astype(np.int32)) for c in rest]], names=names)
+                columns, some = [batch.column(c).slice(a, b - a) for c in ("cls", "doc_id")], np.zeros(b - a, bool)
+                for symbols in kinds:
+                    data, bounds = symbols.of_all(whole[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                    text, h, *rest = anchors(data, bounds, symbols)
+                    edges = np.searchsorted(text, np.arange(b - a + 1))
+                    some |= np.diff(edges) > 0
+                    place = pa.StructArray.from_arrays([pa.array(h.astype(np.int64)), *[pa.array(c.astype(np.int32)) for c in rest]], fields=list(PLACE))
+                    columns += [pa.array(np.diff(bounds).astype(np.int64)), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), place)]
+                if some.any():
+                    yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(some))
                 a = b
 
-    return written(keyed.select("cls", "text").mapInArrow(run, ANCHOR), "anchors")
+    kind = ", ".join(["cls string, doc_id long", *[f"n_{i} long, at_{i} {PLACES}" for i in range(len(kinds))]])
+    return written(keyed.select("cls", "doc_id", "text").mapInArrow(run, kind), "anchors")
+
+
+def bits_of(anchors: DataFrame) -> np.ndarray:
+    """A Bloom filter of ``anchors``, packed: 24 bits or more for each of them, but at most ``MOST_BITS``."""
+    size = 1 << min(MOST_BITS.bit_length() - 1, max(20, (24 * anchors.count()).bit_length()))
+    low, high = F.col("anchor").bitwiseAND(F.lit((1 << 31) - 1)), F.shiftright("anchor", 31)
+    spots = anchors.select(F.explode(F.array(*[(low + i * high).bitwiseAND(F.lit(size - 1)) + 1 for i in range(HASHES)])).alias("_k"))
+    bits = np.zeros(size // 8, np.uint8)
+    for r in spots.groupBy(F.bitmap_bucket_number("_k").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_k")).alias("bits")).collect():
+        bits[(r["at"] - 1) * 4096 : r["at"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return bits
+
+
+def holds(bits: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Which of these anchors a filter of ``bits_of`` holds: all that it was made of, and few others."""
+    low, high, out = anchor & ((1 << 31) - 1), anchor >> 31, np.ones(len(anchor), bool)
+    for i in range(HASHES):
+        spot = (low + i * high) & (8 * len(bits) - 1)
+        out &= (bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 > 0
+    return out
+
+
+def marked(found: DataFrame, marks: Broadcast) -> DataFrame:
+    """Rows of ``all_anchors`` with the places only whose anchor a filter holds, and whether its collection is large.
+
+    ``marks`` holds for each kind the filter of repeated anchors and, sorted, the anchors of large collections. The few
+    others that a filter holds stay too; their collections repeat nothing.
+    """
+    names = ["cls", "doc_id", *[c for c in found.columns if c.startswith("at_")]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, some = [batch.column(c) for c in names[:2]], np.zeros(batch.num_rows, bool)
+            for c, (bits, large) in zip(names[2:], marks.value):
+                edges = batch.column(c).offsets.to_numpy()
+                parts = batch.column(c).values.slice(edges[0], edges[-1] - edges[0]).flatten()
+                anchor = parts[0].to_numpy()
+                keep = holds(bits, anchor)
+                edges = np.r_[0, np.cumsum(keep)][edges - edges[0]]
+                some |= np.diff(edges) > 0
+                parts = [x.filter(pa.array(keep)) for x in parts]
+                place = pa.StructArray.from_arrays([*parts, pa.array(np.isin(anchor[keep], large))], fields=list(MARKED))
+                columns.append(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), place))
+            if some.any():
+                yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(some))
+
+    kind = ", ".join(["cls string, doc_id long", *[f"{c} {PLACES[:-2]},large:boolean>>" for c in names[2:]]])
+    return found.select(names).mapInArrow(run, kind)
 
 
 def excerpts(reps: DataFrame, symbols: Symbols) -> DataFrame:
@@ -197,17 +262,22 @@ def excerpts(reps: DataFrame, symbols: Symbols) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for cls, text, at in zip(batch.column("cls").to_pylist(), batch.column("text"), batch.column("at").to_pylist()):
-                data = symbols.of(text)
-                for x in at:
-                    part = data[x["first"] * symbols.step : (x["last"] + symbols.length) * symbols.step]
-                    out.append((x["anchor"], cls, x["pos"], x["pos"] - x["first"], part.tobytes()))
-                    if len(out) >= 5000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
-                        out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+            edges = batch.column("at").offsets.to_numpy()
+            places = batch.column("at").values.slice(edges[0], edges[-1] - edges[0])
+            anchor, pos, first, last = (places.field(c).to_numpy() for c in ("anchor", "pos", "first", "last"))
+            starts, ends = (first * symbols.step).tolist(), ((last + symbols.length) * symbols.step).tolist()
+            edges = (edges - edges[0]).tolist()
+            parts: list[bytes] = []
+            own: list[int] = []
+            for i, text in enumerate(batch.column("text")):
+                data = symbols.of(text).tobytes()
+                parts += [data[a:b] for a, b in zip(starts[edges[i] : edges[i + 1]], ends[edges[i] : edges[i + 1]])]
+                own += [i] * (edges[i + 1] - edges[i])
+                if parts and (len(parts) >= 5000 or i + 1 == batch.num_rows):
+                    at = slice(edges[i + 1] - len(parts), edges[i + 1])
+                    columns = anchor[at], batch.column("cls").take(pa.array(own)), pos[at], pos[at] - first[at], parts
+                    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(columns, kinds)], names=names)
+                    parts, own = [], []
 
     return reps.where(F.size("at") > 0).select("cls", "text", "at").mapInArrow(run, EXCERPT)
 
@@ -371,26 +441,56 @@ def _texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed, written(classes, "text-classes")
 
 
-def repeated_runs(keyed: DataFrame, classes: DataFrame, symbols: Symbols, batch_size: int = BATCH, max_group: int = MAX_GROUP) -> DataFrame:
-    """Written (cls, runs): the maximal runs (s, e) of symbols in repeated strings, of the classes that have any."""
-    found = all_anchors(keyed.where(F.octet_length("text") >= symbols.length), symbols)
-    # an anchor of one place is no repeat, however many copies of its text there are; n counts the copies too
-    whose = F.xxhash64("cls")
-    shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min(whose).alias("lo"), F.max(whose).alias("hi"), F.min("pos").alias("p0"), F.max("pos").alias("p1"))
-    twice = written(shared.where("lo <> hi" if symbols.across else "lo <> hi or p0 <> p1").select("anchor", "n"), "repeated-anchors")
-    several = twice.where(F.col("n") > max_group).select("anchor")
-    crowded = not several.isEmpty()
-    marked = twice.select("anchor", F.lit(False).alias("large"))
-    if crowded:  # then the copies are told from the places
-        one_place = found.join(checked(several), "anchor", "left_semi").groupBy("cls", "anchor", "pos").agg(F.lit(1).alias("one"))
-        large = checked(one_place.groupBy("anchor").agg(F.count("one").alias("n")).where(F.col("n") > max_group).select("anchor", F.lit(True).alias("large")))
-        marked = twice.select("anchor").join(large, "anchor", "left").select("anchor", F.coalesce("large", F.lit(False)).alias("large"))
-        crowded = not large.isEmpty()
-    places = found.join(marked, "anchor").groupBy("cls").agg(F.collect_set(F.struct("anchor", "pos", "first", "last", "large")).alias("at"))
-    wanted = written(places.join(classes.select("cls", "rep"), "cls"), "wanted")
+@dataclass(frozen=True)
+class Repeats:
+    """Written tables: ``runs``, for each kind of symbols (cls, runs), the maximal runs (s, e) of symbols in repeated strings
+    of the classes that have any; ``sizes``, (cls, n_0, ..) of the classes with anchors; ``reps``, (cls, text) of the classes in ``runs`` and more.
+    """
+
+    runs: list[DataFrame]
+    sizes: DataFrame
+    reps: DataFrame
+
+
+def repeats(keyed: DataFrame, kinds: list[Symbols], batch_size: int = BATCH, max_group: int = MAX_GROUP) -> Repeats:
+    """What repeats by each of ``kinds``: texts are read twice and shuffled once, those with a repeated anchor only."""
+    found = all_anchors(keyed.where(F.octet_length("text") >= min(x.length for x in kinds)), kinds)
+    marks = [repeated_anchors(found, i, symbols, max_group) for i, symbols in enumerate(kinds)]
+    held = keyed.sparkSession.sparkContext.broadcast(marks)
+    at = [f"at_{i}" for i in range(len(kinds))]
+    # copies have equal places, so these are the classes' representatives
+    wanted = written(marked(found, held).groupBy("cls").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in at]), "wanted")
+    held.destroy()
+    sizes = written(found.select("cls", *[f"n_{i}" for i in range(len(kinds))]).dropDuplicates(["cls"]), "sizes")
+    discard(found)
     k, w = sifted(keyed, ["cls", "doc_id"], wanted, ["cls", "rep"]).alias("k"), wanted.alias("w")
     same = (F.col("k.cls") == F.col("w.cls")) & F.col("k.doc_id").eqNullSafe(F.col("w.rep"))
-    reps = k.join(w, same).select("k.cls", "k.text", "w.at")
+    reps = written(k.join(w, same).select("k.cls", "k.text", *at), "wanted-texts")
+    discard(wanted)
+    runs = [repeated_runs(reps.select("cls", "text", F.col(f"at_{i}").alias("at")), symbols, bool(len(marks[i][1])), batch_size) for i, symbols in enumerate(kinds)]
+    return Repeats(runs, sizes, reps)
+
+
+def repeated_anchors(found: DataFrame, kind: int, symbols: Symbols, max_group: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bits of all anchors that may lie in a repeated string, and the sorted anchors of more than ``max_group`` places."""
+    places = found.select("cls", F.explode(f"at_{kind}").alias("x")).select("cls", "x.anchor", "x.pos")
+    # an anchor of one place is no repeat, however many copies of its text there are; n counts the copies too
+    whose = F.xxhash64("cls")
+    shared = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min(whose).alias("lo"), F.max(whose).alias("hi"), F.min("pos").alias("p0"), F.max("pos").alias("p1"))
+    shared = shared.withColumn("twice", F.expr("lo <> hi" if symbols.across else "lo <> hi or p0 <> p1")).select("anchor", "n", "twice")
+    shared = written(shared.where(F.col("twice") | (F.col("n") > max_group)), "repeated-anchors")
+    several = shared.where(F.col("n") > max_group).select("anchor")
+    large: list[int] = []
+    if not several.isEmpty():  # then the copies are told from the places
+        one_place = places.join(checked(several), "anchor", "left_semi").distinct()
+        large = [r["anchor"] for r in one_place.groupBy("anchor").count().where(F.col("count") > max_group).collect()]  # at most a max_group-th of the places
+    bits = bits_of(shared.where("twice").select("anchor"))
+    discard(shared)
+    return bits, np.sort(np.array(large, np.int64))
+
+
+def repeated_runs(reps: DataFrame, symbols: Symbols, crowded: bool, batch_size: int) -> DataFrame:
+    """Written (cls, runs) of rows (cls, text, at); with ``crowded``, some collections are large."""
     of = lambda large: reps.withColumn("at", F.filter("at", lambda x: x["large"] == large)) if crowded else reps
     starts = repeated(excerpts(of(False), symbols).repartition("anchor").sortWithinPartitions("anchor"), symbols, batch_size)
     if crowded:
@@ -403,35 +503,33 @@ def repeated_runs(keyed: DataFrame, classes: DataFrame, symbols: Symbols, batch_
             yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(out, kind)], names=["cls", "runs"])
 
     starts = written(starts, "covered")
-    discard(found, twice, wanted)
     per_class = starts.groupBy("cls").agg(F.collect_set(F.struct("s", "e")).alias("some")).mapInArrow(runs, "cls string, runs array<struct<s:long,e:long>>")
     per_class = written(per_class, "runs")
     discard(starts)
     return per_class
 
 
-def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_size: int = BATCH, max_group: int = MAX_GROUP, texts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_size: int = BATCH, max_group: int = MAX_GROUP) -> DataFrame:
     """Per class of equal texts: cls, copies, n_bytes, and runs, the array of (start, end) to remove."""
-    keyed, classes = texts or _texts(docs)
-    per_class = repeated_runs(keyed, classes, Symbols(1, length, gram), batch_size, max_group)
+    keyed, classes = _texts(docs)
+    return removed(classes, repeats(keyed, [Symbols(1, length, gram)], batch_size, max_group).runs[0], length)
+
+
+def removed(classes: DataFrame, per_class: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``removals`` from the runs of repeated strings."""
     whole = F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("n_bytes").alias("e")))
     none = F.array().cast("array<struct<s:bigint,e:bigint>>")
     runs_of = F.when((F.col("copies") > 1) & (F.col("n_bytes") >= length), whole).otherwise(F.coalesce("runs", none))
     return classes.join(per_class, "cls", "left").select("cls", "rep", "copies", "n_bytes", runs_of.alias("runs"))
 
 
-def passages(docs: DataFrame, symbols: Symbols = WORDS, batch_size: int = BATCH, max_group: int = MAX_GROUP, texts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def passages(classes: DataFrame, found: Repeats, kind: int, symbols: Symbols = WORDS) -> DataFrame:
     """Per class of equal texts that holds any: cls, and n_passage_words, the words in passages of ``symbols.length`` or more words that another document holds too.
 
     Words are what stands between white space. All words of a text of that length with an exact copy count.
     """
-    keyed, classes = texts or _texts(docs)
-    per_class = repeated_runs(keyed, classes, symbols, batch_size, max_group)
-    several = classes.where("copies > 1").select("cls", "rep")
-    copied = sifted(keyed, ["cls", "doc_id"], several, ["cls", "rep"]).join(several, "cls").where(F.col("doc_id").eqNullSafe(F.col("rep")))
-    n_words = F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
-    whole = copied.select("cls", n_words.cast("long").alias("n")).where(F.col("n") >= symbols.length)
-    parts = per_class.select("cls", F.aggregate("runs", F.lit(0).cast("long"), lambda acc, r: acc + r["e"] - r["s"]).alias("n"))
+    whole = found.sizes.select("cls", F.col(f"n_{kind}").alias("n")).where(F.col("n") >= symbols.length).join(classes.where("copies > 1").select("cls"), "cls")
+    parts = found.runs[kind].select("cls", F.aggregate("runs", F.lit(0).cast("long"), lambda acc, r: acc + r["e"] - r["s"]).alias("n"))
     return whole.union(parts).groupBy("cls").agg(F.max("n").alias("n_passage_words"))
 
 
@@ -453,16 +551,18 @@ def kept_texts(rows: DataFrame) -> DataFrame:
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    texts = _texts(docs)
-    found = written(removals(docs, texts=texts), "removals")
-    shared = written(passages(docs, texts=texts), "passages")
+    keyed, classes = _texts(docs)
+    both = repeats(keyed, [Symbols(1, LENGTH, GRAM), WORDS])
+    found = written(removed(classes, both.runs[0]), "removals")
+    shared = written(passages(classes, both, 1), "passages")
     text = F.coalesce(F.col("text"), F.lit(""))
     own = docs.select("doc_id", text.alias("text"), F.md5(text).alias("key"))
     n = F.aggregate("runs", F.lit(0).cast("long"), lambda acc, r: acc + r["e"] - r["s"])
     # only texts of which a part stays are read beside their runs; one row for each text
-    partly = found.where((F.size("runs") > 0) & (n < F.col("n_bytes"))).select("cls", "rep", "runs")
-    cut = sifted(own, ["key", F.col("doc_id").cast("long")], partly, ["cls", "rep"]).join(partly, (F.col("key") == F.col("cls")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "text", "runs")
-    cut = kept_texts(cut).select("cls", F.sha2("kept", 256).alias("sha")).dropDuplicates(["cls"])
+    partly = found.where((F.size("runs") > 0) & (n < F.col("n_bytes"))).select("cls", "runs")
+    cut = sifted(both.reps.select("cls", "text"), ["cls"], partly, ["cls"]).join(partly, "cls")
+    cut = written(kept_texts(cut).select("cls", F.sha2("kept", 256).alias("sha")), "kept")
+    discard(classes, both.reps, both.sizes, *both.runs)
     named = found.select("cls", n.alias("n_removed"), F.size("runs").cast("long").alias("n_spans")).join(cut, "cls", "left")
     named = named.join(shared, "cls", "left")
     rows = own.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text"), 256).alias("whole"))
