@@ -9,7 +9,8 @@
 3. Multi-index Hamming search: a fingerprint is four blocks of 16 bits. If two fingerprints differ in
    at most 23 bits, some block differs in at most 5, and then some value within 2 flips of the window's
    block lies within 3 flips of the item's. The sides list those values, and an equi-join finds all pairs
-   within the radius. A window is compared with the items of the size it was placed for.
+   within the radius. A window is compared with the items of the size it was placed for. An item lists 2,788 values,
+   so neither list is sent to all tasks: windows' values that no item lists are sifted out, the others meet by a shuffle.
 4. A pair counts when its exact weighted Jaccard similarity, sum of the smaller multiplicities over the
    sum of the larger ones, is at least ``threshold``.
 
@@ -29,7 +30,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checked, table, written
+from tessera.llm.common import checked, sifted, table, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -86,6 +87,17 @@ def near_blocks(fps: DataFrame, flips: int) -> DataFrame:
     return rows.select(*fps.columns, F.col("_k.block").alias("block"), F.col("_k.value").bitwiseXOR(F.col("_f")).alias("value"))
 
 
+def near_pairs(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """(wkey, ikey): windows (wkey, size, fp) and items (ikey, size, fp) of one size within the radius.
+
+    Spark takes the listed values to be as small as the written fingerprints, and would broadcast them unasked.
+    """
+    a, b = near_blocks(windows, WINDOW_FLIPS), near_blocks(items, ITEM_FLIPS).withColumnRenamed("fp", "ifp")
+    by = ["size", "block", "value"]
+    met = sifted(a, by, b, by).join(b.hint("merge"), by)
+    return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select("wkey", "ikey").distinct()
+
+
 def bags(rows: DataFrame, key: str, shingles: str) -> DataFrame:
     return rows.select(key, F.explode(shingles).alias("_h")).groupBy(key, "_h").agg(F.count(F.lit(1)).alias("_n"))
 
@@ -136,8 +148,7 @@ def passages(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) ->
 
     sized_fps = written(simhashes(distinct, "wkey", "s").join(windows.select("wkey", "size").distinct(), "wkey"), "window-simhashes")
     item_fps = written(simhashes(own, "ikey", "s").join(own.select("ikey", "size"), "ikey"), "item-simhashes")
-    a, b = near_blocks(sized_fps, WINDOW_FLIPS), near_blocks(item_fps, ITEM_FLIPS).withColumnRenamed("fp", "ifp")
-    pairs = a.join(b, ["size", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select("wkey", "ikey").distinct()
+    pairs = near_pairs(sized_fps, item_fps)
 
     wb, ib = bags(distinct, "wkey", "s"), bags(own, "ikey", "s").withColumnRenamed("_n", "_m")
     shared = pairs.join(wb, "wkey").join(ib, ["ikey", "_h"]).groupBy("wkey", "ikey").agg(F.sum(F.least("_n", "_m")).alias("inter"))
